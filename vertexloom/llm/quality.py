@@ -179,7 +179,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where(
         "id is not null and y is not null").where(fold(F.col("id")) != 0).groupBy("id").agg(F.max("y").alias("y"))
-    picked = known.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample_rows)
+    # only as many ids as the sample can use are ever ordered, however many labels there are
+    share = min(1.0, 4 * sample_rows / max(known.count(), 1))
+    mark = F.xxhash64("id", F.lit(11))
+    picked = known.where(mark < F.lit(int(-(1 << 63) + share * ((1 << 64) - 2048)))).orderBy(mark, "id").limit(sample_rows)
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
         F.broadcast(picked), "id").select("id", "y", "text")
 
