@@ -1,4 +1,323 @@
 """Registered graph queries and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from vertexloom.functions.linalg import multiply, sparse_matrix, spectral_embedding
+from vertexloom.operators.components import clusters, largest_component
+from vertexloom.operators.degree import degree
+from vertexloom.operators.kcore import kcore
+from vertexloom.operators.kmeans import kmeans, kmeans_graph
+from vertexloom.operators.neighbours import betweenness, diameter, overlap
+from vertexloom.operators.pagerank import pagerank
+from vertexloom.operators.subgraph import induced
+from vertexloom.operators.triangles import local_scan, topk_scan, transitivity, triangles
+from vertexloom.plans.derived import returned_in_turn, returned_together
+from vertexloom.plans.scratch import Scratch
+from vertexloom.sources.catalog import GraphCatalog
+from vertexloom.sources.text import read_adjacency, read_edge_list, write_edge_list, write_image
+
+_TURN = """e as (select distinct l_partkey s, np d from (
+    select l_partkey, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) np
+    from lineitem where l_returnflag = 'R') where np is not null and np <> l_partkey),
+  v as (select s id from e union select d from e)"""
+_TOGETHER = """e as (select distinct a.l_partkey s, b.l_partkey d from lineitem a join lineitem b
+    on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey
+    where a.l_returnflag = 'R' and b.l_returnflag = 'R' and a.l_quantity > 40 and b.l_quantity > 40),
+  v as (select s id from e union select d from e)"""
+_LINKS = ", n as (select distinct s, d from (select s, d from e union all select d, s from e) where s <> d)"
+_REACH = """, r as (select id, id m from v union select n.d, r.m from r join n on r.id = n.s where r.m < n.d),
+  c as (select id, min(m) component from r group by id)"""
+_DEGREE = ", g as (select id, count(*) k from (select s id from e union all select d from e) group by id)"
+_TRI = """, t as (select x.s a, x.d b, y.d c from e x join e y on x.d = y.s join e z on z.s = x.s and z.d = y.d),
+  p as (select id, count(*) k from (select a id from t union all select b from t union all select c from t) group by id)"""
+_BALL = """, ball as (select id, id w from v union select s, d from n),
+  sc as (select b.id, count(*) scan from ball b join e on e.s = b.w join ball o on o.id = b.id and o.w = e.d group by b.id)"""
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+def _round(df: DataFrame, *cols: str) -> DataFrame:
+    """Six digits, so that the order of sums does not show; NaN becomes null."""
+    for c in cols:
+        df = df.withColumn(c, F.when(~F.isnan(c), F.round(c, 6)))
+    return df
+
+
+for _mode, _ends in (("both", "select s id from e union all select d from e"), ("in", "select d id from e"),
+                     ("out", "select s id from e")):
+    _query(f"""with {_TURN} select v.id, cast(count(x.id) as bigint) degree from v left join ({_ends}) x on v.id = x.id
+        group by v.id""", f"degree_{_mode}")(
+        lambda spark, sf_dir, mode=_mode: degree(returned_in_turn(spark, sf_dir), mode))
+
+
+@_query(f"with {_TURN} select (select count(*) from v) vcount, (select count(*) from e) ecount, true directed")
+def vcount_ecount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = returned_in_turn(spark, sf_dir)
+    return spark.createDataFrame([(g.vcount, g.ecount, g.directed)], "vcount long, ecount long, directed boolean")
+
+
+@_query(f"with {_TURN} select s src, d dst from e")
+def edge_list_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as text and read again."""
+    path = Scratch(spark, "text").path("edges")
+    write_edge_list(returned_in_turn(spark, sf_dir), path)
+    return read_edge_list(spark, path).edges
+
+
+@_query(f"with {_TURN} select s src, d dst from e")
+def image_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported from a catalog and found there by another one."""
+    root = Scratch(spark, "catalog").path("graphs")
+    first = GraphCatalog(spark, root)
+    first.register(returned_in_turn(spark, sf_dir))
+    first.export("returned_in_turn")
+    return GraphCatalog(spark, root).get("returned_in_turn").edges
+
+
+@_query(f"with {_TURN} select s src, d dst from e")
+def adjacency_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as adjacency lines and read again."""
+    path = Scratch(spark, "adjacency").path("lists")
+    g = returned_in_turn(spark, sf_dir)
+    g.edges.groupBy("src").agg(F.collect_list("dst").alias("a")).select(
+        F.concat_ws(" ", F.col("src").cast("string"), F.transform("a", lambda x: x.cast("string"))).alias("value")
+    ).write.text(path)
+    return read_adjacency(spark, path).edges
+
+
+@_query("select 'returned_in_turn' as name, true as in_mem union all select 'returned_together', false")
+def list_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = Scratch(spark, "catalog").path("graphs")
+    write_image(returned_together(spark, sf_dir), f"{root}/returned_together")
+    catalog = GraphCatalog(spark, root)
+    catalog.register(returned_in_turn(spark, sf_dir))
+    return catalog.list_graphs()
+
+
+@_query(f"with {_TURN} select s i, d j, cast(1 as double) v from e", "sparse_matrix")
+def sparse_matrix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_matrix(returned_in_turn(spark, sf_dir))
+
+
+for _t, _row, _col in ((False, "s", "d"), (True, "d", "s")):
+    _query(f"""with {_TURN} select v.id, coalesce(x.value, 0.0::double) as value from v left join
+        (select {_row} id, sum(cast({_col} as double)) as value from e group by 1) x on v.id = x.id""",
+           "spmv_t" if _t else "spmv")(
+        lambda spark, sf_dir, t=_t: (lambda g: multiply(g, g.vertices.select("id", F.col("id").cast("double").alias("value")), t))(
+            returned_in_turn(spark, sf_dir)))
+
+
+@_query(f"""with recursive {_TURN}, o as (select s, 1.0::double / count(*) w from e group by s),
+  step as (select e.s, e.d, o.w from e join o on e.s = o.s union all select id, id, 0.0::double from v),
+  pr as (select id, 0 as k, (1 - 0.85::double) as p from v union all
+    select step.d, pr.k + 1, (1 - 0.85::double) + 0.85::double * sum(pr.p * step.w)
+    from pr join step on pr.id = step.s where pr.k < 10 group by step.d, pr.k)
+  select id, round(p, 6) as rank from pr where k = 10""")
+def pagerank_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(pagerank(returned_in_turn(spark, sf_dir), max_iters=10, tol=0), "rank")
+
+
+@_query(f"with recursive {_TOGETHER}{_LINKS}{_REACH} select id, component from c")
+def wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(returned_together(spark, sf_dir))
+
+
+@_query(f"""with recursive {_TOGETHER}{_LINKS}{_REACH}
+  select p_partkey as id, coalesce(component, 4294967295) as component from part left join c on p_partkey = id""")
+def wcc_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(returned_together(spark, sf_dir, all_parts=True))
+
+
+@_query(f"""with {_TOGETHER}{_DEGREE} select p_partkey as id, cast(coalesce(k, 0) as bigint) as degree
+  from part left join g on p_partkey = id""")
+def degree_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return degree(returned_together(spark, sf_dir, all_parts=True))
+
+
+@_query(f"""with recursive {_TURN}, f as (select id as a, id as b from v union select f.a, e.d from f join e on f.b = e.s)
+  select x.a as id, min(x.b) as component from f x join f y on x.a = y.b and x.b = y.a group by x.a""")
+def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(returned_in_turn(spark, sf_dir), "strong")
+
+
+@_query(f"""with recursive {_TOGETHER}{_LINKS}{_REACH},
+  big as (select component from c group by component order by count(*) desc, component limit 1),
+  m as (select id, row_number() over (order by id) - 1 as k from c where component = (select component from big))
+  select a.k as src, b.k as dst from e join m a on e.s = a.id join m b on e.d = b.id""")
+def lcc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return largest_component(returned_together(spark, sf_dir)).edges
+
+
+@_query(f"""with {_TURN}{_DEGREE}, keep as (select id from g where k >= 10)
+  select s as src, d as dst from e where s in (select id from keep) and d in (select id from keep)""")
+def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph between parts with ten or more edges."""
+    g = returned_in_turn(spark, sf_dir)
+    return induced(g, degree(g).where("degree >= 10"), compress=False).edges
+
+
+@_query(f"with {_TOGETHER}{_TRI} select v.id, cast(coalesce(k, 0) as bigint) as triangles from v left join p on v.id = p.id")
+def triangles_und(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangles(returned_together(spark, sf_dir))
+
+
+@_query(f"""with {_TURN}, t as (select x.s as a, x.d as b, y.d as c from e x join e y on x.d = y.s join e z on z.s = y.d and z.d = x.s)
+  select v.id, count(t.a) as triangles from v left join t on v.id = t.a group by v.id""")
+def triangles_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangles(returned_in_turn(spark, sf_dir), "cycle")
+
+
+@_query(f"""with {_TURN}{_LINKS}, t as (select x.s as a from n x join n y on x.d = y.s join n z on z.s = y.d and z.d = x.s)
+  select v.id, cast(count(t.a) // 2 as bigint) as triangles from v left join t on v.id = t.a group by v.id""")
+def triangles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triangles(returned_in_turn(spark, sf_dir), "all")
+
+
+@_query(f"with {_TURN}{_DEGREE} select id, cast(k as bigint) as scan from g")
+def scan0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local_scan(returned_in_turn(spark, sf_dir), 0)
+
+
+@_query(f"with {_TURN}{_LINKS}{_BALL} select id, scan from sc")
+def scan1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local_scan(returned_in_turn(spark, sf_dir), 1)
+
+
+@_query(f"with {_TOGETHER}{_LINKS}{_BALL} select id, scan from sc")
+def scan1_und(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local_scan(returned_together(spark, sf_dir), 1)
+
+
+@_query(f"""with {_TURN}{_LINKS}, one as (select id, id as w from v union select s, d from n),
+  ball as (select id, w from one union select one.id, n.d from one join n on one.w = n.s)
+  select b.id, count(*) as scan from ball b join e on e.s = b.w join ball o on o.id = b.id and o.w = e.d group by b.id""")
+def scan2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return local_scan(returned_in_turn(spark, sf_dir), 2)
+
+
+@_query(f"with {_TURN}{_LINKS}{_BALL} select id as vid, scan from sc order by scan desc, id limit 10")
+def topk_scan_10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_scan(returned_in_turn(spark, sf_dir), 1, 10)
+
+
+@_query(f"""with {_TOGETHER}{_TRI}{_DEGREE} select g.id, case when g.k >= 2 then
+  round(2.0::double * coalesce(p.k, 0) / (g.k * (g.k - 1)), 6) end as transitivity from g left join p on g.id = p.id""")
+def transitivity_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(transitivity(returned_together(spark, sf_dir), "local"), "transitivity")
+
+
+@_query(f"""with {_TURN}{_LINKS}{_BALL}{_DEGREE} select g.id, case when g.k >= 2 then
+  round((scan - g.k)::double / (g.k * (g.k - 1)), 6) end as transitivity from g join sc on g.id = sc.id""")
+def transitivity_local_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(transitivity(returned_in_turn(spark, sf_dir), "local"), "transitivity")
+
+
+@_query(f"""with {_TOGETHER}{_TRI}{_DEGREE} select round(2.0::double * (select sum(k) from p)
+  / (select sum(k * (k - 1)) from g), 6) as transitivity""")
+def transitivity_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(transitivity(returned_together(spark, sf_dir)), "transitivity")
+
+
+@_query(f"""with {_TURN}{_LINKS}{_BALL}{_DEGREE} select round(sum(scan - g.k)::double / sum(g.k * (g.k - 1)), 6)
+  as transitivity from g join sc on g.id = sc.id""")
+def transitivity_global_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(transitivity(returned_in_turn(spark, sf_dir)), "transitivity")
+
+
+@_query()
+def kcore_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core numbers; checked against brute force in the tests."""
+    return kcore(returned_together(spark, sf_dir), 1, 0)
+
+
+@_query()
+def kcore_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kcore(returned_in_turn(spark, sf_dir), 2, 10)
+
+
+@_query(f"""with {_TURN}{_LINKS}, dg as (select s, count(*) k from n group by s),
+  m as (select a.s as i, b.s as j, count(*) as common from n a join n b on a.d = b.d group by 1, 2)
+  select i as vid_i, j as vid_j, common, round(common::double / (x.k + y.k - common), 6) as overlap
+  from m join dg x on m.i = x.s join dg y on m.j = y.s""", "overlap")
+def overlap_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between all vertices."""
+    g = returned_in_turn(spark, sf_dir)
+    return _round(overlap(g, g.vertices), "overlap")
+
+
+_BFS = """, root as (select id from g order by k desc, id limit 1),
+  b1 as (select id, 0 as dist from root union select n.d, b1.dist + 1 from b1 join n on b1.id = n.s where b1.dist < 40),
+  far as (select id from (select id, min(dist) as x from b1 group by id) order by x desc, id limit 1),
+  b2 as (select id, 0 as dist from far union select n.d, b2.dist + 1 from b2 join n on b2.id = n.s where b2.dist < 40)"""
+
+
+@_query(f"""with recursive {_TOGETHER}{_LINKS}{_DEGREE}{_BFS}
+  select cast(max(x) as bigint) as diameter from (select min(dist) as x from b1 group by id
+    union all select min(dist) from b2 group by id)""", "diameter")
+def diameter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diameter(returned_together(spark, sf_dir))
+
+
+@_query(f"""with recursive {_TOGETHER}{_LINKS},
+  far as (select id as s, id as t, 0 as k from v union select far.s, n.d, far.k + 1 from far join n on far.t = n.s
+    where far.k < 12),
+  dist as (select s, t, min(k) as k from far group by s, t),
+  walk as (select id as s, id as t, 0 as k, 1.0::double as paths from v union all
+    select walk.s, n.d, walk.k + 1, sum(walk.paths) from walk join n on walk.t = n.s
+    join dist on dist.s = walk.s and dist.t = n.d and dist.k = walk.k + 1 group by walk.s, n.d, walk.k),
+  b as (select x.t as id, sum(x.paths * y.paths / z.paths) / 2 as b from walk x join walk y on x.t = y.s
+    join walk z on z.s = x.s and z.t = y.t where z.k = x.k + y.k and x.k > 0 and y.k > 0 group by x.t)
+  select v.id, round(coalesce(b, 0.0), 6) as betweenness from v left join b on v.id = b.id""", "betweenness")
+def betweenness_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From all sources."""
+    return _round(betweenness(returned_together(spark, sf_dir), batch=100_000), "betweenness")
+
+
+for _which in ("A", "Aug", "L", "nL"):
+    _query(name=f"spectral_{_which}")(lambda spark, sf_dir, which=_which: _round(
+        spectral_embedding(returned_together(spark, sf_dir), 4, which).vectors, "value"))
+
+
+@_query(name="spectral_A_directed")
+def spectral_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(spectral_embedding(returned_in_turn(spark, sf_dir), 4).left, "value")
+
+
+def _lloyd_sql(k: int, rounds: int) -> str:
+    """Rounds of Lloyd's algorithm from the vectors with the smallest ids."""
+    sql = f"""with x as (select vec_id as id, cast(embedding as double[]) as f from embeddings),
+      c0 as (select row_number() over (order by id) as cluster, f as center from (select * from x order by id limit {k}))"""
+    for i in range(rounds):
+        sql += f""", a{i} as (select id, f, cluster from (select x.id, x.f, c.cluster, row_number() over (partition by x.id
+          order by list_sum(list_transform(list_zip(x.f, c.center), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.cluster) as r
+          from x cross join c{i} c) where r = 1),
+          u{i} as (select cluster, p, avg(f[p]) as m from a{i}, (select unnest(generate_series(1, 64)) as p) group by 1, 2),
+          c{i + 1} as (select cluster, list(m order by p) as center from u{i} group by cluster)"""
+    return sql + f""" select id, cast(cluster as integer) as cluster from (select x.id, c.cluster, row_number() over (partition by x.id
+      order by list_sum(list_transform(list_zip(x.f, c.center), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.cluster) as r
+      from x cross join c{rounds} c) where r = 1"""
+
+
+@_query(_lloyd_sql(4, 3), "kmeans")
+def kmeans_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("features"))
+    return kmeans(rows, 4, max_iters=3, tol=0).cluster
+
+
+@_query(name="kmeans_adjacency")
+def kmeans_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_graph(returned_together(spark, sf_dir), 4, 5).cluster
