@@ -84,7 +84,7 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch):
             x = parent[x]
         return x
 
-    for r in simhash.links(nodes, len(prints)).collect():
+    for r in simhash.links(nodes).collect():
         assert (prints[r.u] ^ prints[r.v]).bit_count() <= 4
         u, v = root(r.u), root(r.v)
         parent[max(u, v)] = min(u, v)

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +31,9 @@ from vertexloom.operators.components import min_label
 from vertexloom.plans.scratch import Scratch
 
 SEED = 42
+#: Slabs of the grid, 70 cells a fingerprint. Eight leave about 23 bits to tell cells apart: chance pairs cost less than
+#: the cells themselves up to some hundred million distinct fingerprints, and fewer slabs would cost more beyond that.
+SLABS = 8
 #: Members of a grid cell that one task compares; larger cells are dealt out in pairs of chunks.
 CELL_ROWS = 4096
 #: Cells up to this size are compared pair by pair; larger ones by growing a spanning forest.
@@ -74,16 +76,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        kernel, "doc_id long, fp long")
 
 
-def slabs_for(rows: int, radius: int) -> int:
-    """The number of slabs with the least work: cells written, and chance pairs compared within them."""
-
-    def work(g: int) -> float:
-        agree = 3 / 8  # chance that two random segments of two bits have equal counts
-        return comb(g, radius) * (1 + 0.01 * rows / 2 * agree ** (32 * (g - radius) / g))
-
-    return min(range(radius + 1, radius + 9), key=work)
-
-
 def _cell_masks(slabs: int, radius: int) -> list[int]:
     """For each choice of ``slabs - radius`` slabs, the mask of their segments' bits."""
     edges = [round(i * 32 / slabs) for i in range(slabs + 1)]
@@ -197,7 +189,7 @@ def _link_cells(radius: int):
     return run
 
 
-def links(nodes: DataFrame, rows: int, radius: int = 4) -> DataFrame:
+def links(nodes: DataFrame, radius: int = 4, slabs: int = SLABS) -> DataFrame:
     """Links ``(u, v)``, ``u > v``, between nodes ``(fp, node)`` with distinct ``fp``.
 
     They connect exactly what distance ``radius`` or less connects; within a
@@ -205,7 +197,7 @@ def links(nodes: DataFrame, rows: int, radius: int = 4) -> DataFrame:
     ``CELL_ROWS`` members is cut into chunks by a hash of the fingerprint and
     every pair of chunks is compared by its own task.
     """
-    masks = [_signed(m) for m in _cell_masks(slabs_for(rows, radius), radius)]
+    masks = [_signed(m) for m in _cell_masks(slabs, radius)]
     keyed = nodes.withColumn("emb", embedding("fp")).select(
         "fp", "node", F.posexplode(F.array(*[F.col("emb").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "part")
     ).select(F.xxhash64("choice", "part").alias("cell"), "fp", "node")
@@ -233,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = scratch.save(fingerprints(docs, id_col, text_col, words), "prints")
     groups = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).select(
         "fp", F.coalesce("low", F.xxhash64("fp").bitwiseOR(F.lit(-1 << 63)) ).alias("node"), "low"), "groups")
-    found = scratch.save(links(groups, groups.count(), radius), "links")
+    found = scratch.save(links(groups, radius), "links")
     comps = min_label(found, scratch)
     named = groups.join(comps.withColumnRenamed("id", "node"), "node", "left").select(
         F.col("fp").alias("fp2"), F.coalesce("component", "node").alias("root"), "low")
