@@ -44,8 +44,8 @@ COSINE = 0.35
 #: The share of an item's words that must appear in order, and the least share with its whole answer.
 LCS, LCS_ANSWERED = 0.8, 0.6
 ANSWER_WORDS = 5
-#: Items compared in one pass over the documents; more items take more passes.
-ITEM_BLOCK = 20_000
+#: Items compared in one pass over the documents; more items take more passes. Tables of items by words are dense.
+ITEM_BLOCK = 1000
 
 _FOLD = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).lower()
 
@@ -66,6 +66,13 @@ class Items:
     idf: np.ndarray | None = None
     space: np.ndarray | None = None  # (words + 1) x rank: a word's weight times its latent vector
     latent: np.ndarray | None = None  # items x rank, of length one
+    _matcher: Matcher | None = None
+
+    def matcher(self) -> Matcher:
+        """Built once in each process that holds the items."""
+        if self._matcher is None:
+            self._matcher = Matcher(self)
+        return self._matcher
 
     def counts(self) -> np.ndarray:
         """Which words each item has: items x (words + 1), the first column unknown words."""
@@ -253,7 +260,7 @@ def verify(items: Items, i: int, passage: list[int]) -> float:
 
 
 class Matcher:
-    """Finds the items in batches of coded texts; built once per batch of rows."""
+    """Finds the items in batches of coded texts."""
 
     def __init__(self, items: Items):
         self.items = items
@@ -348,7 +355,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
         def kernel(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch | None:
             ids = batch.column(0).to_pylist()
-            found = Matcher(shared.value).find([np.frombuffer(c, np.int32) for c in batch.column(1).to_pylist()])
+            found = shared.value.matcher().find([np.frombuffer(c, np.int32) for c in batch.column(1).to_pylist()])
             if not found:
                 return None
             at, item, share = zip(*found)
@@ -373,7 +380,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def kernel(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             known = shared.value.vocabulary
             keep = np.ones(batch.num_rows, bool)
-            found = Matcher(shared.value).find([_ids(known, t) for t in texts(batch.column(at))])
+            found = shared.value.matcher().find([_ids(known, t) for t in texts(batch.column(at))])
             keep[[t for t, _, _ in found]] = False
             return batch.filter(pa.array(keep))
 

@@ -25,6 +25,8 @@ from vertexloom.llm._arrow import map_batches, texts
 
 #: Labelled documents that training reads at most, chosen by a hash of the id.
 SAMPLE_ROWS = 4000
+#: Passages that training takes of one document at most, evenly spaced; scoring always reads all of them.
+SAMPLE_PASSAGES = 64
 #: Bytes of a passage; the last one of a document may be shorter.
 PASSAGE_BYTES = 2048
 THRESHOLD = 0.3
@@ -169,13 +171,18 @@ def fold(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5, F.lit(1))
 
 
+def spaced(bag: np.ndarray, most: int = SAMPLE_PASSAGES) -> np.ndarray:
+    """At most ``most`` rows of a bag, evenly spaced."""
+    return bag if len(bag) <= most else bag[np.arange(most) * len(bag) // most]
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS,
           id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled rows outside the held-out fold.
 
     At most ``sample_rows`` documents, those with the smallest hash of their id,
-    are read; both the ids and the passages gathered are thereby bounded in
-    number.
+    are read, and at most ``SAMPLE_PASSAGES`` evenly spaced passages of each, so
+    what is gathered is bounded.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where(
         "id is not null and y is not null").where(fold(F.col("id")) != 0).groupBy("id").agg(F.max("y").alias("y"))
@@ -187,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample
         F.broadcast(picked), "id").select("id", "y", "text")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bags = [encode_passages(t).astype(np.float16).tobytes() for t in texts(batch.column(2))]
+        bags = [spaced(encode_passages(t)).astype(np.float16).tobytes() for t in texts(batch.column(2))]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())],
                                           names=["id", "y", "bag"])
 

@@ -23,6 +23,7 @@ from collections import Counter
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from vertexloom.llm._arrow import map_batches, texts
 from vertexloom.plans.scratch import Scratch
@@ -90,8 +91,15 @@ def _joined(spans) -> str:
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.int64())])
+_FOUND = "array<struct<kind:string,start:int,end:int,value:long>>"
 _SCAN = ("doc_id long, repo string, owner string, n_assign long, n_access long, n_hex long, base_sha256 string, "
-         "found array<struct<kind:string,start:int,end:int,value:long>>")
+         f"found {_FOUND}")
+
+
+def _as_rows(spans) -> list[dict]:
+    """Spans with the hash of their values in place of the values."""
+    return [{"kind": k, "start": s, "end": e,
+             "value": xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63)} for k, s, e, v in spans]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo=None, owner=None) -> DataFrame:
@@ -109,9 +117,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo=N
             for k in KINDS:
                 counts[k].append(sum(x[0] == k for x in base))
             sha.append(hashlib.sha256(_joined(base).encode()).hexdigest())
-            found.append([{"kind": k, "start": s, "end": e,
-                           "value": xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63)}
-                          for k, s, e, v in spans])
+            found.append(_as_rows(spans))
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(2), batch.column(3), *(pa.array(counts[k], pa.int64()) for k in KINDS),
              pa.array(sha, pa.string()), pa.array(found, pa.list_(_SPAN))],
@@ -166,44 +172,50 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  max_owners: int = MAX_OWNERS) -> DataFrame:
     """The documents with live-looking secrets masked; copied examples and all other text stay.
 
-    Candidate values are looked up by hash in the texts' own pass, so texts are
-    not regrouped: values held by more than ``max_owners`` owners are joined to
-    the rows that hold them, and only those rows carry the list.
+    One pass over the texts finds the candidates. Rows without any go on as they
+    are; only rows that hold candidates are joined to what ownership says.
     """
     scratch = Scratch(docs.sparkSession, "mask")
     cols = docs.columns
-    held = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    scanned = scratch.save(scan(held, "__row", text_col, repo, owner).where(F.size("found") > 0), "scan")
-    live = scanned.select(F.col("doc_id").alias("__row"), F.explode("found").alias("x")).select("__row", "x.*").join(
-        ownership(scanned).where(F.col("owners") <= max_owners), "value", "left_semi").groupBy("__row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__live"))
-    joined = held.join(live, "__row", "left").select(*cols, "__live")
-    schema = docs.schema
     at = cols.index(text_col)
-    arrow_names = cols
-    counted = "n_chars" in cols
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        arrays = [batch.column(i) for i in range(len(arrow_names))]
-        spans = batch.column(len(arrow_names))
-        if spans.null_count < len(spans):
-            out, sizes = [], []
-            n_chars = arrays[arrow_names.index("n_chars")].to_pylist() if counted else [None] * len(spans)
-            for text, found, n in zip(arrays[at].to_pylist(), spans.to_pylist(), n_chars):
-                if found:
-                    parts, done = [], 0
-                    for s, e in ((x["start"], x["end"]) for x in found):
-                        if s >= done:
-                            parts += [text[done:s], MASK]
-                        done = max(done, e)
-                    text = "".join([*parts, text[done:]])
-                    n = len(text)
-                out.append(text)
-                sizes.append(n)
-            arrays[at] = pa.array(out, arrays[at].type)
-            if counted:
-                i = arrow_names.index("n_chars")
-                arrays[i] = pa.array(sizes, arrays[i].type)
-        return pa.RecordBatch.from_arrays(arrays, names=arrow_names)
-
-    return map_batches(joined, kernel, schema)
+    n_cols = len(cols)
+    counted = cols.index("n_chars") if "n_chars" in cols else -1
+    keys = [F.coalesce(x if x is not None else F.lit(""), F.lit("")).alias(n)
+            for n, x in (("__repo", repo), ("__owner", owner))]
+
+    def look(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [_as_rows(find(t)) for t in texts(batch.column(at))]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(_SPAN))],
+                                          names=[*batch.schema.names, "__found"])
+
+    picked = docs.select("*", *keys)
+    held = map_batches(picked, look, StructType(
+        [*picked.schema.fields, *StructType.fromDDL(f"__found {_FOUND}").fields]))
+    held = scratch.save(held.withColumn("__row", F.monotonically_increasing_id()), "docs")
+    some = held.where(F.size("__found") > 0)
+    slim = some.select("__row", F.col("__repo").alias("repo"), F.col("__owner").alias("owner"), F.col("__found").alias("found"))
+    live = slim.select("__row", F.explode("found").alias("x")).select("__row", "x.*").join(
+        ownership(slim).where(F.col("owners") <= max_owners), "value", "left_semi").groupBy("__row").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__live"))
+    joined = some.join(live, "__row", "left").select(*cols, "__live")
+
+    def mask(batch: pa.RecordBatch) -> pa.RecordBatch:
+        arrays = [batch.column(i) for i in range(n_cols)]
+        spans = batch.column(n_cols).to_pylist()
+        out = [_masked(t, x) if x else t for t, x in zip(arrays[at].to_pylist(), spans)]
+        arrays[at] = pa.array(out, arrays[at].type)
+        if counted >= 0:
+            arrays[counted] = pa.array([len(t) if x else n for t, x, n in zip(out, spans, arrays[counted].to_pylist())],
+                                       arrays[counted].type)
+        return pa.RecordBatch.from_arrays(arrays, names=cols)
+
+    return held.where(F.size("__found") == 0).select(*cols).unionAll(map_batches(joined, mask, docs.schema))
+
+
+def _masked(text: str, spans: list[dict]) -> str:
+    parts, done = [], 0
+    for s, e in ((x["start"], x["end"]) for x in spans):
+        if s >= done:
+            parts += [text[done:s], MASK]
+        done = max(done, e)
+    return "".join([*parts, text[done:]])

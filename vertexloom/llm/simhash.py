@@ -246,8 +246,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of each near-duplicate group; a repeated row of it stays once."""
+    """The documents with the smallest id of each near-duplicate group; a repeated row of it stays once.
+
+    Rows without an id cannot be named and all stay. Rows that share an id but
+    not the text stay side by side.
+    """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     marked = scratch.save(near_duplicates(docs, id_col, text_col), "components")
     kept = marked.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    # the text's hash goes with the id that the join deals out by, so telling repeats apart takes no further shuffle
+    same = docs.withColumn("__text", F.xxhash64(text_col)).join(kept, id_col, "left_semi").dropDuplicates(
+        [id_col, "__text"]).drop("__text")
+    return same.select(docs.columns).unionAll(docs.where(F.col(id_col).isNull()))

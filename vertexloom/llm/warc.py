@@ -153,6 +153,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
     """``("record", start, end, (headers, block))`` and ``("gap", start, end, reason)`` in order of position."""
     at, gap, why = 0, None, ""
     n = len(data)
+    ahead = {_GZIP: -1, _VERSION: -1}  # where each mark comes next; looked for again only once passed
     while at < n:
         found: list = []
         end, reason = at, ""
@@ -190,8 +191,11 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object]]:
             continue
         if gap is None:
             gap, why = at, reason
-        places = [p for p in (data.find(_GZIP, at + 1), data.find(_VERSION, at + 1)) if p >= 0]
-        at = min(places, default=n)
+        for mark, place in ahead.items():
+            if place <= at:
+                found_at = data.find(mark, at + 1)
+                ahead[mark] = found_at if found_at >= 0 else n
+        at = min(ahead.values())
     if gap is not None:
         yield "gap", gap, n, why
 
