@@ -183,7 +183,7 @@ def _weights(items: Items, df: np.ndarray) -> np.ndarray:
     return idf
 
 
-def fit_space(coded: DataFrame, items: Items) -> Items:
+def fit_space(coded: DataFrame, items: Items, scratch: Scratch) -> Items:
     """The latent space by a distributed randomised SVD of the TF-IDF passages.
 
     Passages come from the ``FIT_ROWS`` documents with the smallest id hashes
@@ -199,8 +199,12 @@ def fit_space(coded: DataFrame, items: Items) -> Items:
     x = np.random.default_rng(3).normal(size=(width, rank)).astype(np.float32)
     own = items.counts() * idf
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
-    sample = coded.where("codes is not null").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "codes").limit(
-        FIT_ROWS).select("codes").repartition(16)
+    # only as many rows as the sample can use are ever ordered, however many there are
+    mark = F.xxhash64("doc_id", F.lit(5))
+    share = min(1.0, 4 * FIT_ROWS / max(int(df[0]), 1))
+    sample = coded.where("codes is not null").where(mark < F.lit(int(-(1 << 63) + share * ((1 << 64) - 2048)))).orderBy(
+        mark, "doc_id", "codes").limit(FIT_ROWS).select("codes")
+    sample = scratch.save(sample.repartition(16), "sample")
 
     for _ in range(POWER + 1):
         shared = spark.sparkContext.broadcast((idf, np.linalg.qr(x)[0].astype(np.float32)))
@@ -340,7 +344,7 @@ def _prepare(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: st
         items = read_items([tuple(r) for r in mine.collect()])
         if len(items.ids):
             coded = scratch.save(coded_words(docs, items, id_col, text_col), "coded")
-            yield fit_space(coded, items), coded
+            yield fit_space(coded, items, scratch), coded
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
