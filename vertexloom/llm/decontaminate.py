@@ -284,8 +284,10 @@ class Matcher:
         """``(text index, item id, share)``: the best share found of each item in each text."""
         it = self.items
         # texts lie one after the other, each followed by enough empty blocks that no passage spans two
-        blocks = np.array([-(-len(c) // BLOCK) + SPANS[-1] - 1 for c in coded])
+        own = np.array([-(-len(c) // BLOCK) for c in coded])
+        blocks = own + SPANS[-1] - 1
         first = np.r_[0, np.cumsum(blocks)]
+        starts = np.arange(first[-1]) - np.repeat(first[:-1], blocks) < np.repeat(own, blocks)  # not in the empty blocks
         flat = np.zeros(first[-1] * BLOCK + SPANS[-1] * BLOCK, np.int32)
         for c, f in zip(coded, first.tolist()):
             flat[f * BLOCK:f * BLOCK + len(c)] = c
@@ -305,7 +307,7 @@ class Matcher:
                 for k in range(1, span):
                     passage += sums[k:k + n]
                 length = np.linalg.norm(passage, axis=1)
-                some = np.flatnonzero(length > 0)
+                some = np.flatnonzero((length > 0) & starts[a:a + n])
                 hit, item = np.nonzero(passage[some] @ it.latent[which].T >= COSINE * length[some, None])
                 self._check(some[hit] + a, which[item], span, flat, first, best)
         return [(t, i, share) for (t, i), share in best.items()]
