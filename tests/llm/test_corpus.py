@@ -95,6 +95,26 @@ def test_licenses_match_brute_force(spark):
         licenses.scan_licenses(docs, {"short": "too few"})
 
 
+def test_short_licenses_beside_long_ones(spark):
+    names = sorted(licenses.TEMPLATES)
+    texts = {(a, b, n): "alpha " * n + f"{licenses.TEMPLATES[a]} {licenses.TEMPLATES[b]}"
+             for a in names for b in ("apache-2.0-header", "mit", "gpl-3.0-header") for n in (0, 32, 41)}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    words = lambda t: re.findall(r"[^\W_]+(?:[.-]+[^\W_]+)*", t.lower())
+    grams = lambda t: {tuple(w[i:i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
+    want = {(i, n) for i, t in enumerate(texts.values()) for n in names
+            for g in [grams(licenses.TEMPLATES[n])] if len(grams(t) & g) >= 0.8 * len(g)}
+    assert {(r.doc_id, r.license) for r in licenses.scan_licenses(docs).collect()} == want
+    # templates whose parts repeat few shingles, and containments under the usual one
+    odd = {"again": "one two three four five six " * 20, "mit": licenses.TEMPLATES["mit"]}
+    half = " ".join(licenses.TEMPLATES["mit"].split()[:70])
+    docs = spark.createDataFrame([(1, "one two three four five six " * 3 + licenses.TEMPLATES["mit"]), (2, half)],
+                                 "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in licenses.scan_licenses(docs, odd).collect()} == {(1, "again"), (1, "mit")}
+    assert {(r.doc_id, r.license) for r in licenses.scan_licenses(docs, odd, containment=0.3).collect()} == {
+        (1, "again"), (1, "mit"), (2, "mit")}
+
+
 @HAS_TABLES
 def test_main_text_matches_plain_reading(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")

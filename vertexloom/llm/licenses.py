@@ -4,9 +4,12 @@ Texts become word shingles of five. Shingles that occur in no template cannot
 add to any containment, so only the others are kept, with their positions; that
 leaves nothing of most texts. Overlapping windows over the kept positions are
 sketched by MinHash and met with the templates' parts through bands. The bands
-are set so that a window holding four fifths of a part next to as much of
-another template still collides with near certainty. Whatever is retrieved is
-verified: the share of the template's shingles found around the window.
+are set so that a window holding four fifths of a part collides with near
+certainty, whatever else fills it. A template too short for such parts is lost
+in a window among other templates' text, so it is retrieved exactly: by any of
+so many of its shingles that no sufficient share can do without them all.
+Whatever is retrieved is verified: the share of the template's shingles found
+around the window.
 
 Defined cases: null and empty texts and texts under five words match nothing;
 case, punctuation and white space do not count; a template of fewer than five
@@ -18,7 +21,10 @@ are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import math
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from vertexloom.plans.scratch import Scratch
 
@@ -77,8 +83,14 @@ def collision_probability(similarity: float, bands: int = BANDS, rows: int = ROW
     return 1 - (1 - similarity**rows) ** bands
 
 
-# a window may hold a whole second template beside four fifths of a part
-assert collision_probability(CONTAINMENT / 2) > 0.999
+def least_similarity(containment: float) -> float:
+    """The Jaccard similarity of a part and a full window that holds this share of it beside other templates' text."""
+    return containment * PART / (WINDOW + (1 - containment) * PART)
+
+
+#: How surely a window must collide with the smallest part that is retrieved by bands.
+CERTAINTY = 0.998
+assert collision_probability(least_similarity(CONTAINMENT)) > CERTAINTY
 
 
 def _words(text: Column) -> Column:
@@ -108,16 +120,39 @@ def _bands(hashes: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """``(license, shingles, parts)``: the template's distinct shingles, and those of its overlapping parts."""
+    """``(license, shingles, parts)``: the template's distinct shingles, and those of its overlapping parts.
+
+    Parts are ``PART`` shingles long, the last one too; a shorter template is one part.
+    """
     df = spark.createDataFrame(sorted(templates.items()), "license string, body string")
     df = df.withColumn("w", _words(F.col("body")))
     hashed = df.select("license", F.transform(_places(F.col("w")), lambda i: _shingle(F.col("w"), i)).alias("all"))
-    step = PART // 2
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("all") - step), F.lit(step))
+    last = F.greatest(F.lit(0), F.size("all") - PART)
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(PART // 2)), F.array(last)))
     return hashed.select("license", F.array_distinct("all").alias("shingles"), F.transform(
         starts, lambda s: F.array_distinct(F.slice(F.col("all"), s + 1, PART))).alias("parts"))
 
 
+def _by_bands(template: Row, containment: float) -> bool:
+    """Whether bands find the template with near certainty: it has parts enough, and none of few shingles."""
+    return (len(template.shingles) >= WINDOW and min(map(len, template.parts)) >= PART
+            and collision_probability(least_similarity(containment)) > CERTAINTY)
+
+
+def _without_bands(known: list[Row], containment: float) -> list[tuple[str, int]]:
+    """``(license, shingle)`` for the templates that bands may miss: what holds the share of one holds one of these.
+
+    They are as many as may be missing and one more, those first that the fewest templates have.
+    """
+    common = Counter(h for r in known for h in r.shingles)
+    out = []
+    for r in known:
+        if not _by_bands(r, containment):
+            missing = len(r.shingles) - math.ceil(containment * len(r.shingles) - 1e-9)
+            out += [(r.license, h) for h in sorted(r.shingles, key=lambda h: (common[h], h))[:missing + 1]]
+    return out
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id",
                   text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """``(doc_id, license, containment, word)``: templates found in each row's whole text.
@@ -145,12 +180,14 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
         "hits", lambda x: (x["at"] >= F.col("k") * STEP) & (x["at"] < F.col("k") * STEP + WINDOW)), lambda x: x["h"])))
     # equal windows are everywhere alike: each distinct one is sketched and retrieved once
     sets = seen.select(F.sort_array("inside").alias("inside")).distinct().where(F.size("inside") > 0)
-    keys = sets.withColumn("band", F.explode(_bands(F.col("inside"))))
-    part = table.select("license", F.explode("parts").alias("part")).where(F.size("part") > 0)
-    part = part.select("license", F.explode(_bands(F.col("part"))).alias("band")).distinct()
+    keys = sets.withColumn("key", F.explode(F.concat(_bands(F.col("inside")), "inside")))
+    part = table.where(F.col("license").isin([r.license for r in known if _by_bands(r, containment)]))
+    part = part.select("license", F.explode("parts").alias("part"))
+    part = part.select("license", F.explode(_bands(F.col("part"))).alias("key")).distinct()
+    part = part.union(spark.createDataFrame(_without_bands(known, containment), "license string, key long"))
     small = sum(len(r.shingles) for r in known) <= BROADCAST_SHINGLES
     side = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    retrieved = keys.join(side(part), "band").select("inside", "license").distinct()
+    retrieved = keys.join(side(part), "key").select("inside", "license").distinct()
     found = retrieved.groupBy("inside").agg(F.collect_set("license").alias("licenses"))
     asked = seen.withColumn("inside", F.sort_array("inside")).join(found, "inside").select(
         "doc_id", "k", "hits", F.explode("licenses").alias("license"))
