@@ -146,6 +146,26 @@ def test_main_text_of_odd_pages(spark):
     assert wrappers.expression(wrappers.merge(a, b)) == '(<ul>(<li>#TEXT</>)+</> (<p>"more"</>)?)'
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    page = ('<html><body><nav>Menu {0}</nav><div id="content"><h1>Lone title</h1><p>Seen {0} times</p>'
+            '<p>{1} is a paragraph that is long enough to be running text of an article, since it goes on for well '
+            'over a hundred and twenty characters.</p><ul><li>x</li></ul><p>Short end.</p></div></body></html>')
+    short = '<html><body><div><h1>Lone title</h1><p>Some text {0}</p></div></body></html>'
+    rows = [(i, "http://copies/", page.format(7, "This")) for i in range(5)]
+    rows += [(10 + i, "http://counted/", page.format(i, "This")) for i in range(5)]
+    rows += [(20 + i, "http://two/", page.format(i, f"Text {i % 2}")) for i in range(5)]
+    rows += [(30 + i, "http://template/", page.format(i, f"Text {i}")) for i in range(5)]
+    rows += [(40 + i, "http://short/", short.format(i)) for i in range(5)]
+    rows += [(50 + i, "http://same/", short.format(1)) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text.split("\n\n") for r in wrappers.main_text(df).collect()}
+    for i in range(5):
+        for host in (0, 10, 20):
+            assert got[host + i][0] == "Lone title" and got[host + i][-1] == "Short end." and len(got[host + i]) == 5
+        assert "Lone title" not in got[30 + i] and "Short end." not in got[30 + i] and len(got[30 + i]) == 2
+        assert got[40 + i] == [f"Some text {i}"] and got[50 + i] == ["Lone title", "Some text 1"]
+
+
 @HAS_TABLES
 def test_latent_search_recalls_what_brute_force_finds(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

@@ -7,7 +7,8 @@ host's pages gives its wrapper, a union-free regular expression over tags. Pages
 are folded within each task, partial wrappers in two further rounds, so a host
 with a third of all pages is combined like any sum. The wrapper tells where
 the host's main text lies and which texts are the same on every page; each
-page is then read whole along it.
+page is then read whole along it. Such texts are the template's only where the
+pages differ: pages that are copies of one another count as one.
 
 Defined cases: null or empty html gives the empty text; a page without a usable
 url belongs to the host with the empty name; pages that do not fit their host's
@@ -19,6 +20,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -55,7 +57,7 @@ _SCOPE = frozenset("table ul ol dl div article section main body html".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Texts that are equal on a host's pages are kept up to this many characters; longer ones are slots at once.
 CONSTANT_CHARS = 120
-#: Pages of a host needed before a text found on all of them is taken for the template's.
+#: Distinct pages of a host needed before a text found on all of its pages is taken for the template's.
 TEMPLATE_PAGES = 4
 
 
@@ -164,6 +166,7 @@ def parse(page: str) -> Node:
 
 # A wrapper node is [label, flags, items, pages, chars, link chars]; flags: 1 optional, 2 repeated, 4 furniture, 8 main.
 # A text slot is ["#", flags, constant or None, pages, chars, link chars]; a repeated group has the label "()".
+# The root has one more entry: the smallest TEMPLATE_PAGES distinct digests of its pages' contents.
 
 OPTIONAL, REPEATED, CHROME, MAIN = 1, 2, 4, 8
 
@@ -264,14 +267,46 @@ def _align(a: list, b: list, same_page: bool) -> list:
     return out
 
 
+def _content(root: Node) -> str:
+    """A digest of what the page says outside furniture.
+
+    Texts too long for constants tell pages apart; only a page without any is
+    told by its short ones. So a counter or a date does not make another page of a copy.
+    """
+    found: list[str] = []
+
+    def walk(node: Node) -> None:
+        buf: list[str] = []
+
+        def flush() -> None:
+            joined = " ".join("".join(buf).split())
+            if joined:
+                found.append(joined)
+            buf.clear()
+
+        for k in node.kids:
+            if not isinstance(k, Node):
+                buf.append(k[0])
+            else:
+                flush()
+                if k.chrome != 2:
+                    walk(k)
+        flush()
+
+    walk(root)
+    said = "\n".join([t for t in found if len(t) > CONSTANT_CHARS] or found)
+    return hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def infer(page: str) -> list:
     """The wrapper of a single page."""
-    return _of_page(parse(page))
+    root = parse(page)
+    return [*_of_page(root), [_content(root)]]
 
 
 def merge(a: list, b: list) -> list:
     """The wrapper of all pages that either wrapper stands for."""
-    return _merge(a, b)
+    return [*_merge(a, b), sorted({*a[6], *b[6]})[:TEMPLATE_PAGES]]
 
 
 def expression(w: list) -> str:
@@ -335,7 +370,7 @@ def plan(w: list) -> dict:
             for k in x[2]:
                 texts_of(k, here if k[0] in ("#", "()") else (*here, k[0]))
 
-    if pages >= TEMPLATE_PAGES:
+    if pages >= TEMPLATE_PAGES and len(w[6]) >= TEMPLATE_PAGES:
         texts_of(node, path)
     return {"main": list(path), "marked": False, "constants": constants}
 
