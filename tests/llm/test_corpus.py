@@ -1,5 +1,6 @@
 import hashlib
 import html
+import json
 import math
 import os
 import random
@@ -7,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,6 +168,16 @@ def test_copies_of_a_page_are_no_template(spark):
         assert got[40 + i] == [f"Some text {i}"] and got[50 + i] == ["Lone title", "Some text 1"]
 
 
+def test_hosts_are_whole_over_flushes():
+    hosts = [h for h in "abcdefg" for _ in range(5)]
+    pages = [json.dumps(wrappers.infer(f"<p>{i}</p>")) for i in range(len(hosts))]
+    for size in (1, 3, 4, 11):
+        batches = [pa.RecordBatch.from_arrays([pa.array(hosts[a:a + size]), pa.array(pages[a:a + size])], names=["host", "wrapper"])
+                   for a in range(0, len(hosts), size)]
+        got = [r for b in wrappers._fold_hosts(json.loads, 2)(iter(batches)) for r in b.to_pylist()]
+        assert [(r["host"], json.loads(r["wrapper"])[3]) for r in got] == [(h, 5) for h in "abcdefg"]
+
+
 @HAS_TABLES
 def test_latent_search_recalls_what_brute_force_finds(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

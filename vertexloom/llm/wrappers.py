@@ -461,7 +461,10 @@ def host(url: str = "url"):
 
 
 def _fold_hosts(load, limit: int = 2000):
-    """Rows ``(host, value)`` to one partial wrapper per host; at most ``limit`` hosts are held."""
+    """Rows ``(host, value)`` to partial wrappers; about ``limit`` hosts are held.
+
+    The host at a batch's end stays held, so rows sorted by host give one wrapper per host.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -478,8 +481,12 @@ def _fold_hosts(load, limit: int = 2000):
                 w = load(value)
                 if w is not None:
                     held[name] = merge(held[name], w) if name in held else w
-            if len(held) >= limit:
-                yield out()
+            if len(held) >= limit and batch.num_rows:
+                last = batch.column(0)[-1].as_py()
+                open_host = {last: held.pop(last)} if last in held else {}
+                if held:
+                    yield out()
+                held.update(open_host)
         if held:
             yield out()
 
@@ -508,8 +515,6 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     to_plan = F.udf(lambda w: json.dumps(plan(json.loads(w))), "string")
     wrappers = host_wrappers(pages, url_col, html_col)
     plans = scratch.save(wrappers.select(F.col("host").alias("h"), to_plan("wrapper").alias("plan")), "plans")
-    # a host may come in two rows only if its rows fell into two flushes; the fuller plan counts
-    plans = plans.groupBy("h").agg(F.max("plan").alias("plan"))
     size = plans.agg(F.sum(F.length("plan") + F.length("h"))).first()[0] or 0
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                        F.col(html_col).alias("html"), host(url_col).alias("host"))
