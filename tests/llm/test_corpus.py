@@ -212,6 +212,20 @@ def test_leaks_of_odd_rows(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_paraphrases_with_inserted_words_are_found_wherever_they_start(spark):
+    item = [f"item{i}" for i in range(16)]
+    # eleven of sixteen words, the answer among them, with twelve words inserted
+    said = " ".join(f"{w} other" if i < 10 else w for i, w in enumerate(item) if i not in (2, 4, 6, 8, 10))
+    said = said.replace("item9 other", "item9 " + "other " * 8)
+    docs = spark.createDataFrame([(n, "noise " * n + said + " noise" * 50) for n in range(48)], "doc_id long, text string")
+    # rows of two halves in different texts hold nothing
+    halves = [(100 + i, " ".join(item[8 * (i % 2):][:8])) for i in range(6)]
+    halves += [(1000 + i, "noise") for i in range(700)]  # else the item's words are common and weigh nothing
+    docs = docs.union(spark.createDataFrame(halves, "doc_id long, text string")).coalesce(1)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(docs, bench).collect()} == set(range(48))
+
+
 def test_shards(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice([None, "", "same", "é" * i]), 1) for i in range(3000)] + [(None, "x", 1), (5, "again", 1)]

@@ -6,9 +6,10 @@ frequencies are counted over all documents. A randomised SVD of the passages
 gives the latent space: every task sums its share of the products with a small
 random matrix, the sums meet in a fixed-size matrix, and a QR and a small SVD
 follow. Passages are windows of whole texts in three lengths; those whose latent
-cosine with an item passes a threshold are candidates. A candidate must then
-hold enough of the item in order (longest common subsequence of words) and the
-item's answer.
+cosine with an item passes a threshold are candidates. A candidate, with the
+block before and the block after it, must then hold enough of the item in order
+(longest common subsequence of words) and the item's answer; the two blocks give
+room to words that a paraphrase inserts.
 
 Defined cases: null and empty texts hold nothing; items that are null or have
 no word are left out, and items with equal words share a result under the
@@ -283,9 +284,9 @@ class Matcher:
     def find(self, coded: list[np.ndarray]) -> list[tuple[int, int, float]]:
         """``(text index, item id, share)``: the best share found of each item in each text."""
         it = self.items
-        # texts lie one after the other, each followed by enough empty blocks that no passage spans two
+        # texts lie one after the other, each followed by enough empty blocks that no widened passage spans two
         own = np.array([-(-len(c) // BLOCK) for c in coded])
-        blocks = own + SPANS[-1] - 1
+        blocks = own + SPANS[-1]
         first = np.r_[0, np.cumsum(blocks)]
         starts = np.arange(first[-1]) - np.repeat(first[:-1], blocks) < np.repeat(own, blocks)  # not in the empty blocks
         flat = np.zeros(first[-1] * BLOCK + SPANS[-1] * BLOCK, np.int32)
@@ -313,9 +314,8 @@ class Matcher:
         return [(t, i, share) for (t, i), share in best.items()]
 
     def _check(self, at, item, span, flat, first, best) -> None:
-        """Exact checks of candidate passages ``at`` for ``item``."""
-        width = span * BLOCK
-        reach = np.arange(width)
+        """Exact checks of candidate passages ``at``, widened by a block on both sides, for ``item``."""
+        reach = np.arange(-BLOCK, (span + 1) * BLOCK)  # before the first text lies the empty end of ``flat``
         for a in range(0, len(at), 20_000):
             w, i = at[a:a + 20_000], item[a:a + 20_000]
             window = flat[w[:, None] * BLOCK + reach]
