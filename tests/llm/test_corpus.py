@@ -56,6 +56,44 @@ def test_salvage_finds_what_follows_damage():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_inside_members(spark, tmp_path):
+    a, b, c = (warc.build_record(i, "http://x", bytes([65 + i]) * 500, hashlib.sha1(bytes([65 + i]) * 500).hexdigest(), None)
+               for i in (1, 2, 3))
+    bad = b.replace(b"BBBB", b"BxBB", 1) if b"BBBB" in b else b.replace(b"CCCC", b"CxCC", 1)
+    whole = warc.member(a + bad + c)
+    got = list(warc.salvage(whole))
+    assert [k for k, *_ in got] == ["record", "gap", "record"] and {(s, e) for _, s, e, _ in got} == {(0, len(whole))}
+    assert [x[0]["page-id"] for k, _, _, x in got if k == "record"] == ["1", "3"]
+    # cut off in its last record: the first two are vouched for by their digests
+    noise = [warc.build_record(i, "http://x", os.urandom(3000), hashlib.sha1(b"").hexdigest(), 9) for i in range(2)]
+    noise.append(warc.build_record(7, "http://x", p := os.urandom(9000), hashlib.sha1(p).hexdigest(), None))
+    cut = warc.member(b"".join(noise))[:-4000]
+    after = warc.member(a)
+    got = list(warc.salvage(cut + after))
+    assert [k for k, *_ in got] == ["record", "record", "gap", "record"]
+    assert got[2][1:3] == (0, len(cut)) and "2 records recovered" in got[2][3]
+    # without any digest nothing vouches for what a broken member holds
+    plain = re.sub(rb"WARC-(Block|Payload)-Digest: [^\r]*\r\n", b"", b"".join(noise))
+    assert [k for k, *_ in warc.salvage(warc.member(plain)[:-4000])] == ["gap"]
+    folder = tmp_path / "archives"
+    folder.mkdir()
+    (folder / "one.warc.gz").write_bytes(whole)
+    (folder / "two.warc.gz").write_bytes(cut + after)
+    rows = warc.read(spark, f"file://{folder}").collect()
+    assert sorted(r.page_id for r in rows if r.gap is None) == [0, 1, 1, 1, 3] and sum(r.gap is not None for r in rows) == 2
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_warc_of_shared_payloads(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_DIGESTS", most)
+    rows = [(i, "u", "x" * 2000 if i % 3 else f"{i}" * 300, 1, "k") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, first long, key string")
+    warc.write(pages, f"file://{tmp_path}/a")
+    got = {r.page_id: r for r in warc.read(spark, f"file://{tmp_path}/a").collect()}
+    assert len(got) == 60 and {r.refers_to for i, r in got.items() if i % 3 and i != 59} == {59}
+    assert all(r.record_type == ("revisit" if i % 3 and i != 59 else "response") for i, r in got.items())
+
+
 def test_top_k_matches_brute_force(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, [rng.choice([-1.0, 0.5, 0.25, 3.0]) for _ in range(6)], i) for i in range(300)]

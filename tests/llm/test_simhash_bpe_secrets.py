@@ -69,13 +69,16 @@ def test_components_match_brute_force(spark):
     assert {d: r.component_id for d, r in got.items()} == slow_components(prints)
 
 
-def test_crowded_cells_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("most", [4, 50])
+def test_crowded_cells_lose_no_link(spark, monkeypatch, most):
+    from vertexloom.plans.scratch import Scratch
+
     rng = random.Random(5)
     centre = rng.getrandbits(64)
     fps = {centre ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 6))) for _ in range(600)}
     fps |= {rng.getrandbits(64) for _ in range(200)}
     prints = {i: f for i, f in enumerate(sorted(fps))}
-    monkeypatch.setattr(simhash, "CELL_ROWS", 50)
+    monkeypatch.setattr(simhash, "CELL_ROWS", most)
     nodes = spark.createDataFrame([(simhash._signed(f), d) for d, f in prints.items()], "fp long, node long")
     parent = dict(zip(prints, prints))
 
@@ -84,7 +87,7 @@ def test_crowded_cells_lose_no_link(spark, monkeypatch):
             x = parent[x]
         return x
 
-    for r in simhash.links(nodes, len(prints)).collect():
+    for r in simhash.links(nodes, Scratch(spark, "test")).collect():
         assert (prints[r.u] ^ prints[r.v]).bit_count() <= 4
         u, v = root(r.u), root(r.v)
         parent[max(u, v)] = min(u, v)

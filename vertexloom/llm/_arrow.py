@@ -1,17 +1,22 @@
-"""Arrow-batch helpers shared by the operators."""
+"""Arrow-batch helpers shared by the operators.
+
+Batches come as Spark makes them, bounded in rows and bytes by the session's own
+settings; kernels cut them further by themselves, so no call changes a setting
+that another operator's lazy plan would see.
+"""
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-#: Rows in an Arrow batch; texts of the usual size then stay within a few megabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes that a kernel gets at a time; a single larger row comes alone.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def find_package(spark: SparkSession) -> None:
@@ -27,25 +32,31 @@ def find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, parts)])
 
 
-def small_batches(df: DataFrame) -> None:
-    """Bound the Arrow batches that Python workers of this session get, in rows and, where Spark can, in bytes."""
-    find_package(df.sparkSession)
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+def slices(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS,
+           size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most ``rows`` rows and about ``size`` bytes; empty ones are left out."""
+    for batch in batches:
+        todo = [batch]
+        while todo:
+            b = todo.pop()
+            n = b.num_rows
+            if n > 1 and (n > rows or b.nbytes > size):
+                cut = min(rows, n // 2) if b.nbytes > size else rows
+                todo += [b.slice(cut), b.slice(0, cut)]
+            elif n:
+                yield b
 
 
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None],
                 schema: StructType | str) -> DataFrame:
-    """Apply ``kernel`` to each Arrow batch, one batch in memory at a time."""
-    small_batches(df)
+    """Apply ``kernel`` to each slice of the Arrow batches, one in memory at a time."""
+    find_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = kernel(batch)
-                if out is not None and out.num_rows:
-                    yield out
+        for batch in slices(batches):
+            out = kernel(batch)
+            if out is not None and out.num_rows:
+                yield out
 
     return df.mapInArrow(run, schema)
 
@@ -53,3 +64,15 @@ def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch
 def texts(column: pa.Array) -> list[str]:
     """Strings of a column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Each wanted column name, lengthened until no other column has it, case ignored."""
+    used = {x.lower() for x in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out

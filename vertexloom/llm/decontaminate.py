@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vertexloom.llm._arrow import find_package, map_batches, small_batches, texts
+from vertexloom.llm._arrow import find_package, map_batches, slices, texts
 from vertexloom.plans.scratch import Scratch
 
 #: Words of a block; a passage is a run of blocks and starts at every block.
@@ -120,7 +120,7 @@ def coded_words(docs: DataFrame, items: Items, id_col: str, text_col: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         total = np.zeros(len(known) + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for t in texts(batch.column(1)):
                 c = _ids(known, t)
@@ -135,7 +135,6 @@ def coded_words(docs: DataFrame, items: Items, id_col: str, text_col: str) -> Da
             [pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.tobytes()], pa.binary())],
             names=["doc_id", "codes", "counts"])
 
-    small_batches(docs)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         run, "doc_id long, codes binary, counts binary")
 
@@ -145,7 +144,7 @@ def _summed(width: int, kind):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width, kind)
-        for batch in batches:
+        for batch in slices(batches, 16):
             for x in batch.column(0).to_pylist():
                 total += np.frombuffer(x, kind)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
@@ -155,7 +154,6 @@ def _summed(width: int, kind):
 
 def _tree_sum(parts: DataFrame, width: int, kind) -> np.ndarray:
     """The sum of many fixed-size matrices: in groups on the executors, then of one matrix a group."""
-    parts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
     grouped = parts.coalesce(16).mapInArrow(_summed(width, kind), "part binary")
     return sum((np.frombuffer(r.part, kind) for r in grouped.toLocalIterator()), np.zeros(width, kind))
 
@@ -213,7 +211,7 @@ def fit_space(coded: DataFrame, items: Items, scratch: Scratch) -> Items:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             weight, q = shared.value
             total = np.zeros(q.shape, np.float32)
-            for batch in batches:
+            for batch in slices(batches):
                 for codes in batch.column(0).to_pylist():
                     passages = _block_rows(np.frombuffer(codes, np.int32), SPANS[1])
                     for a in range(0, len(passages), 256):

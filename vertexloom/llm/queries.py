@@ -34,7 +34,8 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = Scratch(spark, "warc").path("archives")
     warc.write(_read(spark, sf_dir, "pages"), path)
-    return warc.read(spark, path, payloads=False).where("gap is null").select(
+    whole = F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(F.concat_ws(" ", "path", "start", "gap")))
+    return warc.read(spark, path, payloads=False).where(whole).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

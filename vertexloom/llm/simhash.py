@@ -6,34 +6,42 @@ never exceeds the Hamming distance of the fingerprints, so a range join of the
 embeddings loses no link. The grid groups the 32 coordinates into slabs; of
 ``g`` slabs at most four can differ within distance four, so two fingerprints in
 range agree on some ``g - 4`` slabs and meet in the grid cell of that choice.
-Inside a cell the Manhattan bound comes first, then the exact bit count.
+Inside a cell the Manhattan bound comes first, then the exact bit count. The
+number of slabs is fixed. A cell with too many members for one task is cut by a
+finer grid of its own, over the fingerprints' bits: of its slabs, too, at most
+four differ, so no link is lost and every member is written a fixed number of
+times, however crowded the cell.
 
 Defined cases: null and wordless texts have fingerprint zero and link like any
 other; equal fingerprints are one node, so copies are never expanded into
 pairs; rows repeat in the result as they do in the input; a null ``doc_id``
 keeps its row and takes the component of its fingerprint (null if no row of the
-component has an id); an empty table gives an empty result; other columns are
-ignored whatever their names.
+component has an id); texts of any length are read whole, and a bit set in
+exactly half of the shingles' hashes is not set; an empty table gives an empty
+result; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from vertexloom.llm._arrow import map_batches, small_batches, texts
+from vertexloom.llm._arrow import find_package, free_names, map_batches, texts
 from vertexloom.operators.components import min_label
 from vertexloom.plans.scratch import Scratch
 
 SEED = 42
-#: Members of a grid cell that one task compares; larger cells are dealt out in pairs of chunks.
+#: Slabs of the grid beyond the radius: 6 for radius 4, the cheapest on the sizes measured.
+MORE_SLABS = 2
+#: Members of a grid cell that one task compares; a cell with more is cut by the next of the finer grids.
 CELL_ROWS = 4096
+#: Slabs beyond the radius of the finer grids over bits, each cutting the cells that the one before leaves crowded.
+FINER = (2, 3, 5)
 #: Cells up to this size are compared pair by pair; larger ones by growing a spanning forest.
 PAIRWISE = 64
 _LOW = 0x5555555555555555
@@ -74,21 +82,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                        kernel, "doc_id long, fp long")
 
 
-def slabs_for(rows: int, radius: int) -> int:
-    """The number of slabs with the least work: cells written, and chance pairs compared within them."""
-
-    def work(g: int) -> float:
-        agree = 3 / 8  # chance that two random segments of two bits have equal counts
-        return comb(g, radius) * (1 + 0.01 * rows / 2 * agree ** (32 * (g - radius) / g))
-
-    return min(range(radius + 1, radius + 9), key=work)
-
-
-def _cell_masks(slabs: int, radius: int) -> list[int]:
-    """For each choice of ``slabs - radius`` slabs, the mask of their segments' bits."""
-    edges = [round(i * 32 / slabs) for i in range(slabs + 1)]
-    slab = [sum(3 << 2 * s for s in range(edges[i], edges[i + 1])) for i in range(slabs)]
-    return [sum(c) for c in combinations(slab, slabs - radius)]
+def _masks(slabs: int, radius: int, width: int) -> list[int]:
+    """For each choice of ``slabs - radius`` slabs of 64 bits, the mask of their bits; slabs are runs of ``width``-bit units."""
+    units = 64 // width
+    edges = [round(i * units / slabs) * width for i in range(slabs + 1)]
+    slab = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(slabs)]
+    return [_signed(sum(c)) for c in combinations(slab, slabs - radius)]
 
 
 def _signed(x: int) -> int:
@@ -197,28 +196,39 @@ def _link_cells(radius: int):
     return run
 
 
-def links(nodes: DataFrame, rows: int, radius: int = 4) -> DataFrame:
+def _cells(members: DataFrame, over, masks: list[int], *within: str) -> DataFrame:
+    """``(cell, fp, node)``: each member under its cell of every choice of slabs, within the cell it comes from."""
+    parts = F.posexplode(F.array(*[over.bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "part")
+    return members.select("fp", "node", *within, parts).select(
+        F.xxhash64(*within, "choice", "part").alias("cell"), "fp", "node")
+
+
+def links(nodes: DataFrame, scratch: Scratch, radius: int = 4) -> DataFrame:
     """Links ``(u, v)``, ``u > v``, between nodes ``(fp, node)`` with distinct ``fp``.
 
     They connect exactly what distance ``radius`` or less connects; within a
-    crowded cell redundant links are left out. A cell with more than
-    ``CELL_ROWS`` members is cut into chunks by a hash of the fingerprint and
-    every pair of chunks is compared by its own task.
+    cell of many members redundant links are left out. Cells are counted, with
+    partial sums, before any of them is gathered. What the last of the finer
+    grids leaves crowded differs in few bits and is gathered nevertheless.
     """
-    masks = [_signed(m) for m in _cell_masks(slabs_for(rows, radius), radius)]
-    keyed = nodes.withColumn("emb", embedding("fp")).select(
-        "fp", "node", F.posexplode(F.array(*[F.col("emb").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "part")
-    ).select(F.xxhash64("choice", "part").alias("cell"), "fp", "node")
-    crowded = keyed.groupBy("cell").count().where(F.col("count") > CELL_ROWS).select(
-        "cell", F.ceil(F.col("count") / CELL_ROWS).cast("int").alias("chunks"))
-    mine = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
-    dealt = keyed.join(crowded, "cell", "left").select("fp", "node", F.explode(
-        F.when(F.col("chunks").isNull(), F.array("cell")).otherwise(F.transform(
-            F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1),
-            lambda other: F.xxhash64("cell", F.least(mine, other), F.greatest(mine, other))))).alias("cell"))
-    dealt = dealt.select("cell", "fp", "node").repartition("cell").sortWithinPartitions("cell")
-    small_batches(dealt)
-    dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    cells = _cells(nodes, embedding("fp"), _masks(radius + MORE_SLABS, radius, 2))
+    ready = None
+    for more in (*FINER, None):
+        if more is None:
+            part, cells = cells, None
+        else:
+            crowded = scratch.save(cells.groupBy("cell").count().where(F.col("count") > CELL_ROWS).select("cell"), "crowded")
+            if crowded.limit(1).count():
+                part = cells.join(crowded, "cell", "left_anti")
+                cells = cells.join(crowded, "cell", "left_semi").withColumnRenamed("cell", "outer")
+                cells = scratch.save(_cells(cells, F.col("fp"), _masks(radius + more, radius, 1), "outer"), "finer")
+            else:
+                part, cells = cells, None
+        ready = part if ready is None else ready.unionByName(part)
+        if cells is None:
+            break
+    find_package(nodes.sparkSession)
+    dealt = ready.repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(_link_cells(radius), "u long, v long").distinct()
 
 
@@ -233,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = scratch.save(fingerprints(docs, id_col, text_col, words), "prints")
     groups = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).select(
         "fp", F.coalesce("low", F.xxhash64("fp").bitwiseOR(F.lit(-1 << 63)) ).alias("node"), "low"), "groups")
-    found = scratch.save(links(groups, groups.count(), radius), "links")
+    found = scratch.save(links(groups, scratch, radius), "links")
     comps = min_label(found, scratch)
     named = groups.join(comps.withColumnRenamed("id", "node"), "node", "left").select(
         F.col("fp").alias("fp2"), F.coalesce("component", "node").alias("root"), "low")
@@ -255,6 +265,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     marked = scratch.save(near_duplicates(docs, id_col, text_col), "components")
     kept = marked.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
     # the text's hash goes with the id that the join deals out by, so telling repeats apart takes no further shuffle
-    same = docs.withColumn("__text", F.xxhash64(text_col)).join(kept, id_col, "left_semi").dropDuplicates(
-        [id_col, "__text"]).drop("__text")
+    (mark,) = free_names(docs.columns, "text_hash")
+    same = docs.withColumn(mark, F.xxhash64(text_col)).join(kept, id_col, "left_semi").dropDuplicates([id_col, mark])
     return same.select(docs.columns).unionAll(docs.where(F.col(id_col).isNull()))

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vertexloom.llm._arrow import find_package, map_batches, texts
+from vertexloom.llm._arrow import find_package, map_batches, slices, texts
 from vertexloom.plans.scratch import Scratch
 
 _TOKEN = re.compile(
@@ -476,7 +476,7 @@ def _fold_hosts(load, limit: int = 2000):
             held.clear()
             return rows
 
-        for batch in batches:
+        for batch in slices(batches):
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 w = load(value)
                 if w is not None:
@@ -496,7 +496,6 @@ def _fold_hosts(load, limit: int = 2000):
 def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(host, wrapper)``: one wrapper for all pages of each host."""
     find_package(pages.sparkSession)
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     schema = "host string, wrapper string"
     first = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(
         _fold_hosts(lambda page: infer(page) if page else None), schema)
