@@ -9,8 +9,10 @@ owner's own.
 
 Defined cases: a null text is empty; offsets count code points, end exclusive;
 a null owner or repository counts as one owner or repository named by the empty
-string; rows repeat as they do in the input, each with its own spans; an empty
-table gives an empty result; other columns are ignored.
+string; rows repeat as they do in the input, each with its own spans; spans that
+start together come in the order of their kinds; texts are read whole, and time
+and memory grow as a text and its spans do; an empty table gives an empty
+result; other columns are ignored, and masking keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pyarrow as pa
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
-from vertexloom.llm._arrow import map_batches, texts
+from vertexloom.llm._arrow import free_names, map_batches, texts
 from vertexloom.plans.scratch import Scratch
 
 KINDS = ("assign", "access", "hex")
@@ -77,11 +80,19 @@ def find(text: str) -> list[tuple[str, int, int, str]]:
     if b"\1" * 32 in raw.translate(_MIX_RUN):
         more += [("mixed", m.start(), m.end(), m[0]) for m in _MIXED.finditer(text) if _is_mixed(m[0])]
     if more:
-        taken = sorted((s, e) for _, s, e, _ in out)
+        starts, ends = [], []  # what is taken, as disjoint ranges in order
+        for start, end in sorted((x[1], x[2]) for x in out):
+            if ends and start < ends[-1]:
+                ends[-1] = max(ends[-1], end)
+            else:
+                starts.append(start)
+                ends.append(end)
         for x in more:
-            if not any(s < x[2] and x[1] < e for s, e in taken):
+            i = bisect_right(ends, x[1])
+            if i == len(starts) or starts[i] >= x[2]:
                 out.append(x)
-                taken.append((x[1], x[2]))
+                starts.insert(i, x[1])
+                ends.insert(i, x[2])
     order = KINDS + ADDED
     return sorted(out, key=lambda x: (x[1], order.index(x[0]), x[2]))
 
@@ -180,24 +191,26 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     at = cols.index(text_col)
     n_cols = len(cols)
     counted = cols.index("n_chars") if "n_chars" in cols else -1
+    c_repo, c_owner, c_found, c_row, c_live = free_names(cols, "repo", "owner", "found", "row", "live")
     keys = [F.coalesce(x if x is not None else F.lit(""), F.lit("")).alias(n)
-            for n, x in (("__repo", repo), ("__owner", owner))]
+            for n, x in ((c_repo, repo), (c_owner, owner))]
 
     def look(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [_as_rows(find(t)) for t in texts(batch.column(at))]
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(_SPAN))],
-                                          names=[*batch.schema.names, "__found"])
+                                          names=[*batch.schema.names, c_found])
 
     picked = docs.select("*", *keys)
     held = map_batches(picked, look, StructType(
-        [*picked.schema.fields, *StructType.fromDDL(f"__found {_FOUND}").fields]))
-    held = scratch.save(held.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    some = held.where(F.size("__found") > 0)
-    slim = some.select("__row", F.col("__repo").alias("repo"), F.col("__owner").alias("owner"), F.col("__found").alias("found"))
-    live = slim.select("__row", F.explode("found").alias("x")).select("__row", "x.*").join(
-        ownership(slim).where(F.col("owners") <= max_owners), "value", "left_semi").groupBy("__row").agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__live"))
-    joined = some.join(live, "__row", "left").select(*cols, "__live")
+        [*picked.schema.fields, *StructType.fromDDL(f"{c_found} {_FOUND}").fields]))
+    held = scratch.save(held.withColumn(c_row, F.monotonically_increasing_id()), "docs")
+    some = held.where(F.size(c_found) > 0)
+    slim = some.select(F.col(c_row).alias("row"), F.col(c_repo).alias("repo"), F.col(c_owner).alias("owner"),
+                       F.col(c_found).alias("found"))
+    live = slim.select("row", F.explode("found").alias("x")).select("row", "x.*").join(
+        ownership(slim).where(F.col("owners") <= max_owners), "value", "left_semi").groupBy(
+        F.col("row").alias(c_row)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(c_live))
+    joined = some.join(live, c_row, "left").select(*cols, c_live)
 
     def mask(batch: pa.RecordBatch) -> pa.RecordBatch:
         arrays = [batch.column(i) for i in range(n_cols)]
@@ -209,7 +222,7 @@ def mask_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                        arrays[counted].type)
         return pa.RecordBatch.from_arrays(arrays, names=cols)
 
-    return held.where(F.size("__found") == 0).select(*cols).unionAll(map_batches(joined, mask, docs.schema))
+    return held.where(F.size(c_found) == 0).select(*cols).unionAll(map_batches(joined, mask, docs.schema))
 
 
 def _masked(text: str, spans: list[dict]) -> str:
