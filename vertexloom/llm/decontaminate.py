@@ -11,11 +11,12 @@ block before and the block after it, must then hold enough of the item in order
 (longest common subsequence of words) and the item's answer; the two blocks give
 room to words that a paraphrase inserts.
 
-Defined cases: null and empty texts hold nothing; items that are null or have
-no word are left out, and items with equal words share a result under the
-smallest id; an item's answer is its last ``ANSWER_WORDS`` words unless a column
-gives it; repeated rows give equal results; empty tables give empty results;
-other columns are ignored.
+Defined cases: null and empty texts hold nothing; items without an id, without a
+text or without a word are left out, and items with equal words share a result
+under the smallest id; an item's answer is its last ``ANSWER_WORDS`` words unless
+a column gives it; texts are searched whole, in pieces of a fixed size; of
+several places of an item in a text the best share counts; repeated rows give
+equal results; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,6 +49,9 @@ ANSWER_WORDS = 5
 #: Items compared in one pass over the documents; more items take more passes. Tables of items by words are dense.
 ITEM_BLOCK = 1000
 
+#: Memory that one piece of the candidates' exact checks takes.
+CHECK_BYTES = 16 << 20
+
 _FOLD = bytes(c if chr(c).isalnum() and c < 128 or c >= 128 else 32 for c in range(256)).lower()
 
 
@@ -75,20 +79,23 @@ class Items:
             self._matcher = Matcher(self)
         return self._matcher
 
-    def counts(self) -> np.ndarray:
-        """Which words each item has: items x (words + 1), the first column unknown words."""
-        out = np.zeros((len(self.ids), len(self.vocabulary) + 1), np.float32)
-        for i, s in enumerate(self.sequences):
-            np.add.at(out[i], s, 1)
-        out[:, 0] = 0
-        return out
+    def counts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(item index, word, how often)`` for the words that each item has, in order."""
+        keys = np.concatenate([np.unique(s, return_counts=True) for s in map(np.asarray, self.sequences)], axis=1)
+        items = np.repeat(np.arange(len(self.sequences)), [len(set(s)) for s in self.sequences])
+        return items, keys[0], keys[1].astype(np.float32)
+
+
+def _times(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """The product of a sparse matrix of ``n`` rows, all of them present and in order, with a dense one."""
+    return np.add.reduceat(values[:, None] * x[cols], np.searchsorted(rows, np.arange(n)), axis=0)
 
 
 def read_items(rows: list[tuple]) -> Items:
     """Items from ``(item_id, text, answer or None)``; long items become several passages."""
     vocabulary: dict[bytes, int] = {}
     ids, sequences, answers, seen = [], [], [], {}
-    for item, text, answer in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+    for item, text, answer in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] or "")):
         w = [vocabulary.setdefault(x, len(vocabulary) + 1) for x in words(text or "")]
         if not w or tuple(w) in seen:
             continue
@@ -196,8 +203,12 @@ def fit_space(coded: DataFrame, items: Items, scratch: Scratch) -> Items:
     idf = items.idf = _weights(items, df)
     rank = min(RANK + OVERSAMPLE, width)
     x = np.random.default_rng(3).normal(size=(width, rank)).astype(np.float32)
-    own = items.counts() * idf
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+    n_items = len(items.ids)
+    row, word, often = items.counts()
+    weight = often * idf[word]
+    weight = weight / np.maximum(np.sqrt(np.bincount(row, weight * weight, n_items)), 1e-9)[row].astype(np.float32)
+    flip = np.argsort(word, kind="stable")
+    used, place = np.unique(word[flip], return_inverse=True)
     # only as many rows as the sample can use are ever ordered, however many there are
     mark = F.xxhash64("doc_id", F.lit(5))
     share = min(1.0, 4 * FIT_ROWS / max(int(df[0]), 1))
@@ -226,11 +237,13 @@ def fit_space(coded: DataFrame, items: Items, scratch: Scratch) -> Items:
         q = shared.value[1]
         gathered = _tree_sum(sample.mapInArrow(run, "part binary"), q.size, np.float32).reshape(q.shape)
         # items count as much as the sampled passages do
-        x = len(own) and (own.T @ (own @ q)) * (FIT_ROWS / len(own)) + gathered
+        met = _times(row, word, weight, q, n_items)
+        x = gathered.copy()
+        x[used] += _times(place, row[flip], weight[flip], met, len(used)) * (FIT_ROWS / n_items)
     u, s, _ = np.linalg.svd(x.astype(np.float64), full_matrices=False)
     basis = u[:, :max(1, min(RANK, int((s > s[0] * 1e-6).sum())))].astype(np.float32)
     items.space = basis * idf[:, None]
-    latent = items.counts() @ items.space
+    latent = _times(row, word, often, items.space, n_items)
     items.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     return items
 
@@ -271,7 +284,9 @@ class Matcher:
         reach = [(b - 1) * BLOCK for b in SPANS]
         of = np.searchsorted(reach, size)
         self.scales = [(b, np.flatnonzero(of == k)) for k, b in enumerate(SPANS) if (of == k).any()]
-        self.has = items.counts() > 0
+        row, word, _ = items.counts()
+        self.has = np.zeros((len(size), len(items.vocabulary) + 1), bool)
+        self.has[row, word] = True
         self.need = np.ceil(LCS_ANSWERED * size - 1e-9).astype(int)
         self.kept = items.idf > 0
         self.padded = np.zeros((len(size), max(size)), np.int32)
@@ -314,8 +329,9 @@ class Matcher:
     def _check(self, at, item, span, flat, first, best) -> None:
         """Exact checks of candidate passages ``at``, widened by a block on both sides, for ``item``."""
         reach = np.arange(-BLOCK, (span + 1) * BLOCK)  # before the first text lies the empty end of ``flat``
-        for a in range(0, len(at), 20_000):
-            w, i = at[a:a + 20_000], item[a:a + 20_000]
+        step = max(1, CHECK_BYTES // max(len(self.kept), len(reach) * 8))
+        for a in range(0, len(at), step):
+            w, i = at[a:a + step], item[a:a + step]
             window = flat[w[:, None] * BLOCK + reach]
             # words of the passage that the item has bound the common subsequence from above
             ok = np.flatnonzero(self.has[i[:, None], window].sum(1) >= self.need[i])
@@ -337,7 +353,8 @@ def _prepare(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: st
              item_text_col: str, answer_col: str | None) -> Iterator[tuple[Items, DataFrame]]:
     """Fitted items with the documents' coded words, block by block of items."""
     picked = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"), (
-        F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer"))
+        F.col(answer_col) if answer_col else F.lit(None).cast("string")).alias("answer")).where(
+        "item_id is not null and text is not null")
     parts = max(1, -(-picked.count() // ITEM_BLOCK))
     for part in range(parts):
         mine = picked.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
