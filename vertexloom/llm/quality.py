@@ -7,10 +7,13 @@ scored. Attention and scorer are learned together from document labels alone
 (Ilse, Tomczak and Welling 2018), on a bounded sample of labelled documents.
 
 Defined cases: a null or empty text is one empty passage and gets a score like
-any other; labels that are null or name no document are not used, and of
-contradicting labels of a document the larger counts; without labels of both
-classes every score is their mean, or 0.5 without any; repeated rows get equal
-scores; an empty table gives an empty result; other columns are never read.
+any other; texts are scored whole, all passages of one text together; labels
+that are null or name no document are not used, of contradicting labels of a
+document the larger counts, and of different texts under one id training reads
+that with the smallest hash; a score at the threshold counts as label 1; without
+labels of both classes every score is their mean, or 0.5 without any; repeated
+rows get equal scores; an empty table gives an empty result; other columns are
+never read.
 """
 
 from __future__ import annotations
@@ -22,15 +25,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vertexloom.llm._arrow import map_batches, texts
+from vertexloom.plans.scratch import Scratch
 
-#: Labelled documents that training reads at most, chosen by a hash of the id.
+#: Labelled documents that training reads at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 4000
-#: Passages that training takes of one document at most, evenly spaced; scoring always reads all of them.
-SAMPLE_PASSAGES = 64
+#: Passages of those documents together. Each is read with all of its passages, and only as many documents, in the order
+#: of their hashes, as stay within this; the first one always counts.
+SAMPLE_PASSAGES = 200_000
 #: Bytes of a passage; the last one of a document may be shorter.
 PASSAGE_BYTES = 2048
 THRESHOLD = 0.3
 HIDDEN, GATE, EPOCHS, BATCH = 24, 12, 30, 64
+#: Passages whose gradients are computed together; a batch with more adds them up piece by piece.
+PIECE = 8192
 
 _CLASS = np.zeros(256, np.int64)
 for _chars, _c in ((b" ", 1), (b"\n\r\t\x0b\x0c", 2), (b"0123456789", 3), (b".,;:", 4), (b"!?", 5), (b"'\"()-", 6)):
@@ -121,15 +128,36 @@ class Model:
         return self._parts(np.clip(x, -6, 6), bag, len(bags))[-1]
 
 
+def _gradients(model: Model, bags: list[np.ndarray], labels: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Gradients of these bags' share in the mean cross-entropy of ``n`` bags."""
+    w = model.w
+    x = np.clip((np.concatenate(bags) - model.mean) / model.scale, -6, 6)
+    bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    h, v, u, att, z, score = model._parts(x, bag, len(bags))
+    err = (score - labels) / n
+    g = {"c": z.T @ err, "d": err.sum()}
+    dz = err[:, None] * w["c"]
+    datt = (dz[bag] * h).sum(1)
+    de = att * (datt - np.bincount(bag, att * datt, len(bags))[bag])
+    dvu = de[:, None] * w["a"]
+    g["a"] = (v * u).T @ de
+    dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
+    g["V"], g["U"] = h.T @ dv, h.T @ du
+    dh = (att[:, None] * dz[bag] + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
+    g["W"], g["b"] = x.T @ dh, dh.sum(0)
+    return g
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """Learn attention and scorer by Adam on the cross-entropy of whole documents."""
     prior = float(np.mean(labels)) if len(labels) else 0.5
     if len(labels) == 0 or len(set(labels.tolist())) < 2:
         return Model(np.zeros(FEATURES), np.ones(FEATURES), None, prior)
     rng = np.random.default_rng(seed)
-    rows = np.concatenate(bags).astype(np.float64)
-    mean, scale = rows.mean(0), rows.std(0) + 0.02
-    xs = [np.clip((b - mean) / scale, -6, 6) for b in bags]
+    n = sum(map(len, bags))
+    mean = sum(b.sum(0, dtype=np.float64) for b in bags) / n
+    spread = sum((np.square(b - mean)).sum(0) for b in bags) / n
+    scale = np.sqrt(spread) + 0.02
     d = FEATURES
     w = {"W": rng.normal(0, 1 / np.sqrt(d), (d, HIDDEN)), "b": np.zeros(HIDDEN),
          "V": rng.normal(0, 0.3, (HIDDEN, GATE)), "U": rng.normal(0, 0.3, (HIDDEN, GATE)),
@@ -138,23 +166,13 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     m1, m2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
     step = 0
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(xs))
+        order = rng.permutation(len(bags))
         for s in range(0, len(order), BATCH):
             pick = order[s:s + BATCH]
-            x = np.concatenate([xs[i] for i in pick])
-            bag = np.repeat(np.arange(len(pick)), [len(xs[i]) for i in pick])
-            h, v, u, att, z, score = model._parts(x, bag, len(pick))
-            err = (score - labels[pick]) / len(pick)
-            g = {"c": z.T @ err, "d": err.sum()}
-            dz = err[:, None] * w["c"]
-            datt = (dz[bag] * h).sum(1)
-            de = att * (datt - np.bincount(bag, att * datt, len(pick))[bag])
-            dvu = de[:, None] * w["a"]
-            g["a"] = (v * u).T @ de
-            dv, du = dvu * u * (1 - v * v), dvu * v * u * (1 - u)
-            g["V"], g["U"] = h.T @ dv, h.T @ du
-            dh = (att[:, None] * dz[bag] + dv @ w["V"].T + du @ w["U"].T) * (1 - h * h)
-            g["W"], g["b"] = x.T @ dh, dh.sum(0)
+            g: dict = dict.fromkeys(w, 0.0)
+            for piece in np.split(pick, np.flatnonzero(np.diff(np.cumsum([len(bags[i]) for i in pick]) // PIECE)) + 1):
+                for k, x in _gradients(model, [bags[i] for i in piece], labels[piece], len(pick)).items():
+                    g[k] = g[k] + x
             step += 1
             rate = 0.01 * (1 - epoch / EPOCHS) + 0.0005
             for k in w:
@@ -171,37 +189,45 @@ def fold(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5, F.lit(1))
 
 
-def spaced(bag: np.ndarray, most: int = SAMPLE_PASSAGES) -> np.ndarray:
-    """At most ``most`` rows of a bag, evenly spaced."""
-    return bag if len(bag) <= most else bag[np.arange(most) * len(bag) // most]
+def within(sizes: list[int], most: int) -> int:
+    """How many of the first bags of these sizes stay within ``most`` passages; one at least."""
+    return max(1, int(np.searchsorted(np.cumsum(sizes), most, "right")))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS,
-          id_col: str = "doc_id", text_col: str = "text") -> Model:
+          id_col: str = "doc_id", text_col: str = "text", sample_passages: int = SAMPLE_PASSAGES) -> Model:
     """A model from the labelled rows outside the held-out fold.
 
-    At most ``sample_rows`` documents, those with the smallest hash of their id,
-    are read, and at most ``SAMPLE_PASSAGES`` evenly spaced passages of each, so
-    what is gathered is bounded.
+    At most ``sample_rows`` documents are read, those with the smallest hashes
+    of their ids, each with all of its passages, and fewer where they have more
+    than ``sample_passages`` together; so what is gathered is bounded.
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).where(
         "id is not null and y is not null").where(fold(F.col("id")) != 0).groupBy("id").agg(F.max("y").alias("y"))
     # only as many ids as the sample can use are ever ordered, however many labels there are
     share = min(1.0, 4 * sample_rows / max(known.count(), 1))
     mark = F.xxhash64("id", F.lit(11))
-    picked = known.where(mark < F.lit(int(-(1 << 63) + share * ((1 << 64) - 2048)))).orderBy(mark, "id").limit(sample_rows)
+    picked = known.withColumn("mark", mark).where(F.col("mark") < F.lit(int(-(1 << 63) + share * ((1 << 64) - 2048)))).orderBy(
+        "mark", "id").limit(sample_rows)
     joined = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(picked), "id").select("id", "y", "text")
+        F.broadcast(picked), "id").select("id", "y", "mark", F.xxhash64("text").alias("by"), "text")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bags = [spaced(encode_passages(t)).astype(np.float16).tobytes() for t in texts(batch.column(2))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())],
-                                          names=["id", "y", "bag"])
-
-    rows = map_batches(joined, kernel, "id long, y double, bag binary").dropDuplicates(["id"]).collect()
-    rows.sort(key=lambda r: r.id)
-    bags = [np.frombuffer(r.bag, np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
-    return fit(bags, np.array([r.y for r in rows], float))
+        bags = [encode_passages(t).astype(np.float16) for t in texts(batch.column(4))]
+        return pa.RecordBatch.from_arrays(
+            [*batch.columns[:4], pa.array(map(len, bags), pa.int64()), pa.array([b.tobytes() for b in bags], pa.binary())],
+            names=["id", "y", "mark", "by", "n", "bag"])
+
+    rows = map_batches(joined, kernel, "id long, y double, mark long, by long, n long, bag binary").groupBy(
+        "id", "y", "mark").agg(F.min(F.struct("by", "n", "bag")).alias("x"))
+    rows = Scratch(docs.sparkSession, "quality").save(rows.select("id", "y", "mark", "x.n", "x.bag"), "bags")
+    sizes = sorted(tuple(r) for r in rows.select("mark", "id", "n").collect())
+    if not sizes:
+        return fit([], np.zeros(0))
+    last, last_id, _ = sizes[within([n for *_, n in sizes], sample_passages) - 1]
+    taken = rows.where((F.col("mark") < last) | ((F.col("mark") == last) & (F.col("id") <= last_id))).collect()
+    taken.sort(key=lambda r: r.id)
+    return fit([np.frombuffer(r.bag, np.float16).reshape(-1, FEATURES) for r in taken], np.array([r.y for r in taken], float))
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
