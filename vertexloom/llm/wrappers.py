@@ -5,17 +5,25 @@ equal labels match, siblings that repeat become one repeated group, what only
 one side has becomes optional, and differing texts become slots. Folding a
 host's pages gives its wrapper, a union-free regular expression over tags. Pages
 are folded within each task, partial wrappers in two further rounds, so a host
-with a third of all pages is combined like any sum. The wrapper tells where
-the host's main text lies and which texts are the same on every page; each
-page is then read whole along it. Such texts are the template's only where the
-pages differ: pages that are copies of one another count as one.
+with a third of all pages is combined like any sum.
+
+The wrapper decides what of a page is its main text. It tells where that lies:
+at the paths that any of the host's pages marks as main, also on pages that mark
+nothing; without marks, where most of the running text is. And it tells what the
+template says there: a text that every page of the host has at the same path is
+no page's own and is left out, provided that at least ``TEMPLATE_PAGES`` pages
+differ in what else they say. Pages whose longest texts agree count as copies of
+one another, not as different pages.
 
 Defined cases: null or empty html gives the empty text; a page without a usable
 url belongs to the host with the empty name; pages that do not fit their host's
 wrapper are read by their own tree; white space within a block, non-breaking
 spaces included, becomes one space; broken or unclosed markup is closed at the
-next element that cannot lie inside; repeated rows give equal results; an empty
-table gives an empty result; other columns are ignored.
+next element that cannot lie inside; elements nested deeper than ``DEPTH`` are
+read as siblings, in order and with nothing lost; of several main elements all
+are read in page order; pages are read whole, whatever their length; repeated
+rows give equal results; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -55,10 +63,12 @@ _IN_P = frozenset("""address article aside blockquote details div dl dd dt field
  h3 h4 h5 h6 header hr li main menu nav ol p pre section table tr td th ul body""".split())
 _SCOPE = frozenset("table ul ol dl div article section main body html".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Texts that are equal on a host's pages are kept up to this many characters; longer ones are slots at once.
-CONSTANT_CHARS = 120
-#: Distinct pages of a host needed before a text found on all of its pages is taken for the template's.
+#: Pages of a host that must differ before a text found on all of its pages is taken for the template's.
 TEMPLATE_PAGES = 4
+#: Levels of block elements that keep their nesting.
+DEPTH = 40
+#: Siblings after folding beyond which they become one repeated group of optional elements.
+SIBLINGS = 200
 
 
 class Node:
@@ -86,23 +96,70 @@ def _marks(tag: str) -> tuple[str, set[str], str, bool]:
     return label, words, role, hidden
 
 
+class _Open:
+    """The elements open while a page is read: blocks as nodes, inline elements as ``(tag, furniture)``."""
+
+    def __init__(self, root: Node):
+        self.stack: list = [root]
+        self.blocks: list[Node] = [root]
+        self.at: list[int] = [0]  # where in the stack each block stands
+        self.places: list[Node] = [root]  # where a block's node hangs; deep ones hang from their ancestor at DEPTH
+        self.count: dict[str, int] = {}
+        self.bad = self.links = 0
+
+    def push(self, x) -> None:
+        self.stack.append(x)
+        tag = x.tag if isinstance(x, Node) else x[0]
+        self.count[tag] = self.count.get(tag, 0) + 1
+        if isinstance(x, Node):
+            parent = self.places[-1]
+            parent.kids.append(x)
+            self.blocks.append(x)
+            self.at.append(len(self.stack) - 1)
+            self.places.append(x if len(self.places) < DEPTH else parent)
+        else:
+            self.bad += x[1]
+            self.links += tag == "a"
+
+    def pop(self) -> None:
+        x = self.stack.pop()
+        tag = x.tag if isinstance(x, Node) else x[0]
+        self.count[tag] -= 1
+        if isinstance(x, Node):
+            self.blocks.pop()
+            self.at.pop()
+            self.places.pop()
+        else:
+            self.bad -= x[1]
+            self.links -= tag == "a"
+
+    def add(self, kid) -> None:
+        """A text or a rule at the end of the innermost block."""
+        x, place = self.blocks[-1], self.places[-1]
+        if place is not x and place.kids[-1] is not x:  # a deep block goes on after what lay inside it
+            x = Node(x.tag, x.label, x.chrome, False)
+            place.kids.append(x)
+            self.stack[self.at[-1]] = self.blocks[-1] = x
+        x.kids.append(kid)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            self.pop()
+
+
 def parse(page: str) -> Node:
     """The tree of block elements; inline elements only mark furniture and links."""
     root = Node("#root", "", 0, False)
-    stack: list = [root]  # nodes of blocks, and (tag, chrome) of inline elements
+    open_ = _Open(root)
+    stack, count = open_.stack, open_.count
     at = 0
 
-    def block() -> Node:
-        return next(x for x in reversed(stack) if isinstance(x, Node))
-
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            chrome = any(not isinstance(x, Node) and x[1] for x in stack)
-            link = any(not isinstance(x, Node) and x[0] == "a" for x in stack)
-            if not chrome:
-                block().kids.append((_html.unescape(raw), link))
+            if not open_.bad:
+                open_.add((_html.unescape(raw), open_.links > 0))
         elif raw:
-            block().kids.append((" ", False))
+            open_.add((" ", False))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -116,70 +173,86 @@ def parse(page: str) -> Node:
             continue
         tag = name[1].lower()
         if tok[1] == "/":
+            if not count.get(tag):
+                continue
             if tag in _INLINE:
                 for i in range(len(stack) - 1, 0, -1):
                     if isinstance(stack[i], Node):
                         break
                     if stack[i][0] == tag:
-                        del stack[i]
+                        above = stack[i + 1:]
+                        open_.cut(i)
+                        for x in above:
+                            open_.push(x)
                         break
             else:
                 for i in range(len(stack) - 1, 0, -1):
                     if isinstance(stack[i], Node) and stack[i].tag == tag:
-                        del stack[i:]
+                        open_.cut(i)
                         break
                     if isinstance(stack[i], Node) and tag == "p" and stack[i].tag in _SCOPE:
                         break
             continue
         if tag in _VOID:
             if tag == "hr":
-                block().kids.append(Node("hr", "hr", 0, False))
+                open_.add(Node("hr", "hr", 0, False))
             elif tag in ("br", "img", "wbr"):
-                block().kids.append((" ", False))
+                open_.add((" ", False))
             continue
         label, words, role, hidden = _marks(tok) if "=" in tok else ("", set(), "", False)
         bad = bool(words & _CHROME_WORDS) or role in _CHROME_ROLES or hidden
         if tag in _INLINE:
-            stack.append((tag, bad and tag != "a"))
+            open_.push((tag, bad and tag != "a"))
             continue
         closes = _CLOSES.get(tag, set()) | ({"p"} if tag in _IN_P else set())
-        for i in range(len(stack) - 1, 0, -1):
-            x = stack[i]
-            if isinstance(x, Node):
-                if x.tag in closes:
-                    del stack[i:]
-                    break
-                if x.tag in _SCOPE:
-                    break
+        if any(map(count.get, closes)):
+            for i in range(len(stack) - 1, 0, -1):
+                x = stack[i]
+                if isinstance(x, Node):
+                    if x.tag in closes:
+                        open_.cut(i)
+                        break
+                    if x.tag in _SCOPE:
+                        break
         while not isinstance(stack[-1], Node):  # an unclosed inline element ends with its block
-            stack.pop()
+            open_.pop()
         main = tag in ("article", "main") or role == "main"
         head = (tag == "header" or bool(words & _HEADER_WORDS)) and tag not in _HEADINGS
         chrome = 2 if tag in _CHROME_TAGS or (bad and not main and tag not in ("html", "body")) else 1 if head else 0
-        node = Node(tag, tag + ("." + label if label else ""), chrome, main)
-        block().kids.append(node)
-        stack.append(node)
+        if open_.places[-1] is not open_.blocks[-1]:  # what hangs elsewhere takes what it lies in along
+            chrome = max(chrome, open_.blocks[-1].chrome)
+        open_.push(Node(tag, tag + ("." + label if label else ""), chrome, main))
     if at < len(page):
         text(page[at:])
     return root
 
 
 # A wrapper node is [label, flags, items, pages, chars, link chars]; flags: 1 optional, 2 repeated, 4 furniture, 8 main.
-# A text slot is ["#", flags, constant or None, pages, chars, link chars]; a repeated group has the label "()".
-# The root has one more entry: the smallest TEMPLATE_PAGES distinct digests of its pages' contents.
+# A text slot is ["#", flags, the constant's digest or None, pages, chars, link chars]; a repeated group has the label "()".
+# The root has two more entries: the smallest TEMPLATE_PAGES digests of its pages' longest texts, and the digests of the
+# texts, each with its path, that all of its pages have.
 
 OPTIONAL, REPEATED, CHROME, MAIN = 1, 2, 4, 8
 
 
+def _digest(said: str) -> str:
+    return hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
+def _at(path: str, said: str) -> str:
+    """What stands for a text at its path."""
+    return _digest(f"{path}\n{said}")
+
+
 def _of_page(node: Node) -> list:
-    items, buf, links, chars = [], [], 0, 0
+    items, buf, links = [], [], 0
 
     def flush() -> None:
-        nonlocal buf, links, chars
+        nonlocal buf, links
         joined = " ".join("".join(buf).split())
         if joined:
-            items.append(["#", 0, joined if len(joined) <= CONSTANT_CHARS else None, 1, len(joined), min(links, len(joined))])
-        buf, links, chars = [], 0, 0
+            items.append(["#", 0, _digest(joined), 1, len(joined), min(links, len(joined))])
+        buf, links = [], 0
 
     for k in node.kids:
         if isinstance(k, Node):
@@ -193,6 +266,19 @@ def _of_page(node: Node) -> list:
     return [node.label, flags, _fold(items), 1, sum(x[4] for x in items), sum(x[5] for x in items)]
 
 
+def _few(items: list) -> list:
+    """Too many siblings become one repeated group with each label once, all optional."""
+    if len(items) <= SIBLINGS:
+        return items
+    by: dict[str, list] = {}
+    for x in items:
+        for y in x[2] if x[0] == "()" else [x]:
+            y = [y[0].split(".")[0], y[1] | OPTIONAL, *y[2:]]
+            by[y[0]] = _merge(by[y[0]], y, True) if y[0] in by else y
+    group = list(by.values())
+    return [["()", REPEATED, group, max(x[3] for x in items), sum(x[4] for x in group), sum(x[5] for x in group)]]
+
+
 def _fold(items: list) -> list:
     """Neighbours that repeat, alone or as a group of two to four, become one repeated item."""
     out: list = []
@@ -215,7 +301,7 @@ def _fold(items: list) -> list:
                     group = [_merge(a, b, same_page=True) for a, b in zip(group, out[i + j * period:i + (j + 1) * period])]
                 out[i:i + n * period] = [["()", REPEATED, group, 1, sum(x[4] for x in group), sum(x[5] for x in group)]]
             i += 1
-    return out
+    return _few(out)
 
 
 def _key(x: list) -> str:
@@ -264,55 +350,41 @@ def _align(a: list, b: list, same_page: bool) -> list:
             j += 1
     for x in [*a[i:], *b[j:]]:
         optional(x)
-    return out
+    return _few(out)
 
 
-def _content(root: Node) -> str:
-    """A digest of what the page says outside furniture.
-
-    Texts too long for constants tell pages apart; only a page without any is
-    told by its short ones. So a counter or a date does not make another page of a copy.
-    """
-    found: list[str] = []
-
-    def walk(node: Node) -> None:
-        buf: list[str] = []
-
-        def flush() -> None:
-            joined = " ".join("".join(buf).split())
-            if joined:
-                found.append(joined)
-            buf.clear()
-
-        for k in node.kids:
-            if not isinstance(k, Node):
-                buf.append(k[0])
-            else:
-                flush()
-                if k.chrome != 2:
-                    walk(k)
-        flush()
-
-    walk(root)
-    said = "\n".join([t for t in found if len(t) > CONSTANT_CHARS] or found)
-    return hashlib.blake2b(said.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+def _texts(node: Node, path: str = "") -> Iterator[tuple[str, str]]:
+    """``(path, text)`` of the texts outside furniture."""
+    buf: list[str] = []
+    for k in [*node.kids, None]:
+        if k is not None and not isinstance(k, Node):
+            buf.append(k[0])
+            continue
+        joined = " ".join("".join(buf).split())
+        if joined:
+            yield path, joined
+        buf.clear()
+        if k is not None and k.chrome != 2:
+            yield from _texts(k, f"{path}/{k.label}")
 
 
 def infer(page: str) -> list:
     """The wrapper of a single page."""
     root = parse(page)
-    return [*_of_page(root), [_content(root)]]
+    said = list(_texts(root))
+    longest = max((t for _, t in said), key=len, default="")
+    return [*_of_page(root), [_digest(longest)], sorted({_at(p, t) for p, t in said})]
 
 
 def merge(a: list, b: list) -> list:
     """The wrapper of all pages that either wrapper stands for."""
-    return [*_merge(a, b), sorted({*a[6], *b[6]})[:TEMPLATE_PAGES]]
+    return [*_merge(a, b), sorted({*a[6], *b[6]})[:TEMPLATE_PAGES], sorted({*a[7]} & {*b[7]})]
 
 
 def expression(w: list) -> str:
     """The wrapper as a union-free regular expression over tags and text slots."""
     if w[0] == "#":
-        body = "#TEXT" if w[2] is None else json.dumps(w[2], ensure_ascii=False)
+        body = "#TEXT" if w[2] is None else "#SAME"
     else:
         inner = " ".join(map(expression, w[2]))
         body = f"({inner})" if w[0] in ("()", "") else f"<{w[0]}>{inner}</>"
@@ -321,10 +393,8 @@ def expression(w: list) -> str:
 
 
 def plan(w: list) -> dict:
-    """What extraction needs: the path of the main element, and the template's own texts inside it by path."""
-    constants: list = []
-    marked: list = []
-    pages = w[3]
+    """What extraction needs: the paths of the main elements, and the template's texts."""
+    marked: set = set()
 
     def own(x: list) -> tuple[int, int]:
         """Characters and link characters outside furniture."""
@@ -340,63 +410,67 @@ def plan(w: list) -> dict:
             return
         here = path if x[0] in ("", "()") else (*path, x[0])
         if x[1] & MAIN:
-            marked.append((own(x)[0], here))
+            marked.add(here)
             return
         for k in x[2]:
             walk(k, here)
 
     walk(w, ())
+    constants = w[7] if len(w) > 6 and len(w[6]) >= TEMPLATE_PAGES else []
     if marked:
-        return {"main": list(max(marked)[1]), "marked": True, "constants": []}
+        return {"main": sorted(map(list, marked)), "constants": constants}
     # no element says it is the main one: go down while one child holds most of the running text
     node, path = w, ()
     while True:
         total = own(node)[0]
         kids = [k for k in node[2] if k[0] != "#"] if node[0] != "#" else []
         flat = [g for k in kids for g in (k[2] if k[0] == "()" else [k]) if g[0] != "#"]
-        scored = sorted(((own(k)[0] - 2 * own(k)[1], i) for i, k in enumerate(flat)), reverse=True)
-        if not scored or total == 0 or scored[0][0] < 0.7 * total or flat[scored[0][1]][1] & REPEATED:
+        scored = sorted(((own(k)[0] - 2 * own(k)[1], -i) for i, k in enumerate(flat)), reverse=True)
+        if not scored or total == 0 or scored[0][0] < 0.7 * total or flat[-scored[0][1]][1] & REPEATED:
             break
-        if flat[scored[0][1]][0].split(".")[0] in ("p", "pre", *_HEADINGS):
+        if flat[-scored[0][1]][0].split(".")[0] in ("p", "pre", *_HEADINGS):
             break
-        node = flat[scored[0][1]]
+        node = flat[-scored[0][1]]
         path = (*path, node[0])
+    return {"main": [list(path)], "constants": constants}
 
-    def texts_of(x: list, here: tuple) -> None:
-        if x[0] == "#":
-            if x[2] is not None and x[3] == pages and not x[1] & (OPTIONAL | REPEATED):
-                constants.append([list(here), x[2]])
-        elif not x[1] & CHROME:
-            for k in x[2]:
-                texts_of(k, here if k[0] in ("#", "()") else (*here, k[0]))
-
-    if pages >= TEMPLATE_PAGES and len(w[6]) >= TEMPLATE_PAGES:
-        texts_of(node, path)
-    return {"main": list(path), "marked": False, "constants": constants}
-
-
-def _find(node: Node, path: list) -> list[Node]:
-    """Page elements along the path, in page order."""
-    found = [node]
-    for label in path:
-        found = [k for x in found for k in x.kids if isinstance(k, Node) and k.label == label]
+
+def _find(root: Node, paths: list[list[str]]) -> list[tuple[Node, str]]:
+    """The page's elements at any of the paths with their paths, in page order, none inside another."""
+    wanted = {"".join(f"/{x}" for x in p) for p in paths}
+    if "" in wanted:
+        return [(root, "")]
+    begun = {w[:i] for w in wanted for i, c in enumerate(w) if c == "/"} | wanted
+    found: list[tuple[Node, str]] = []
+
+    def walk(node: Node, path: str) -> None:
+        for k in node.kids:
+            if isinstance(k, Node):
+                here = f"{path}/{k.label}"
+                if here in wanted:
+                    found.append((k, here))
+                elif here in begun:
+                    walk(k, here)
+
+    walk(root, "")
     return found
 
 
-def _marked(node: Node) -> list[Node]:
+def _marked(node: Node, path: str = "") -> list[tuple[Node, str]]:
     out = []
     for k in node.kids:
         if isinstance(k, Node) and k.chrome != 2:
-            out += [k] if k.main else _marked(k)
+            here = f"{path}/{k.label}"
+            out += [(k, here)] if k.main else _marked(k, here)
     return out
 
 
-def _blocks(node: Node, out: list[str], path: tuple, drop: set) -> None:
+def _blocks(node: Node, out: list[str], path: str, drop: frozenset) -> None:
     buf: list[str] = []
 
     def flush() -> None:
         joined = " ".join("".join(buf).split())
-        if joined and (path, joined) not in drop:
+        if joined and not (drop and _at(path, joined) in drop):
             out.append(joined)
         buf.clear()
 
@@ -405,52 +479,44 @@ def _blocks(node: Node, out: list[str], path: tuple, drop: set) -> None:
             buf.append(k[0])
         elif k.tag in ("td", "th"):
             cell: list[str] = []
-            _blocks(k, cell, (*path, k.label), drop)
+            _blocks(k, cell, f"{path}/{k.label}", drop)
             buf.append(" " + " ".join(cell) + " ")
         elif k.chrome == 2:
             flush()
         elif k.chrome == 1 and node.tag != "#root":
             flush()
-            heads: list[Node] = []
-            _headings(k, heads)
-            for h in heads:
-                _blocks(h, out, (*path, k.label, h.label), drop)
+            heads: list[tuple[Node, str]] = []
+            _headings(k, heads, f"{path}/{k.label}")
+            for h, here in heads:
+                _blocks(h, out, here, drop)
         else:
             flush()
-            _blocks(k, out, (*path, k.label), drop)
+            _blocks(k, out, f"{path}/{k.label}", drop)
     flush()
 
 
-def _headings(node: Node, out: list[Node]) -> None:
+def _headings(node: Node, out: list[tuple[Node, str]], path: str) -> None:
     for k in node.kids:
         if isinstance(k, Node):
+            here = f"{path}/{k.label}"
             if k.tag in _HEADINGS:
-                out.append(k)
+                out.append((k, here))
             else:
-                _headings(k, out)
+                _headings(k, out, here)
 
 
 def extract(page: str, plan_of_host: dict | None = None) -> str:
     """The main text of a page, blocks joined by an empty line."""
     root = parse(page)
-    mains: list[Node] = []
-    drop: set = set()
-    path: tuple = ()
-    if plan_of_host and (plan_of_host["marked"] or plan_of_host["main"]):
-        path = tuple(plan_of_host["main"])
+    drop: frozenset = frozenset()
+    mains: list[tuple[Node, str]] = []
+    if plan_of_host:
         mains = _find(root, plan_of_host["main"])
-        drop = {(tuple(p), t) for p, t in plan_of_host["constants"]}
-    marked = _marked(root)
-    if marked and (not mains or marked != mains):
-        mains = marked  # the page itself says more than the host
-        drop = set()
-    if not mains:
-        alone = plan(_of_page(root))
-        path = tuple(alone["main"])
-        mains = _find(root, alone["main"]) or [root]
+        drop = frozenset(plan_of_host["constants"])
+    mains = mains or _marked(root) or _find(root, plan(_of_page(root))["main"]) or [(root, "")]
     out: list[str] = []
-    for x in mains:
-        _blocks(x, out, path, drop)
+    for node, path in mains:
+        _blocks(node, out, path, drop)
     return "\n\n".join(out)
 
 
@@ -460,8 +526,8 @@ def host(url: str = "url"):
                               F.lit("")))
 
 
-def _fold_hosts(load, limit: int = 2000):
-    """Rows ``(host, value)`` to partial wrappers; about ``limit`` hosts are held.
+def _fold_hosts(load, keep=lambda w: w, limit: int = 2000):
+    """Rows ``(host, value)`` to ``keep`` of their partial wrappers as JSON; about ``limit`` hosts are held.
 
     The host at a batch's end stays held, so rows sorted by host give one wrapper per host.
     """
@@ -471,7 +537,7 @@ def _fold_hosts(load, limit: int = 2000):
 
         def out() -> pa.RecordBatch:
             rows = pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())],
+                [pa.array(list(held), pa.string()), pa.array([json.dumps(keep(w)) for w in held.values()], pa.string())],
                 names=["host", "wrapper"])
             held.clear()
             return rows
@@ -481,7 +547,7 @@ def _fold_hosts(load, limit: int = 2000):
                 w = load(value)
                 if w is not None:
                     held[name] = merge(held[name], w) if name in held else w
-            if len(held) >= limit and batch.num_rows:
+            if len(held) >= limit:
                 last = batch.column(0)[-1].as_py()
                 open_host = {last: held.pop(last)} if last in held else {}
                 if held:
@@ -493,15 +559,16 @@ def _fold_hosts(load, limit: int = 2000):
     return run
 
 
-def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(host, wrapper)``: one wrapper for all pages of each host."""
+def host_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep=lambda w: w) -> DataFrame:
+    """``(host, wrapper)``: ``keep`` of the one wrapper for all pages of each host, as JSON."""
     find_package(pages.sparkSession)
     schema = "host string, wrapper string"
     first = pages.select(host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(
         _fold_hosts(lambda page: infer(page) if page else None), schema)
     second = first.repartition("host", F.pmod(F.xxhash64("wrapper"), F.lit(32))).mapInArrow(
         _fold_hosts(json.loads), schema)
-    return second.repartition("host").sortWithinPartitions("host").mapInArrow(_fold_hosts(json.loads), schema)
+    return second.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(
+        _fold_hosts(json.loads, keep), schema)
 
 
 #: Plans are broadcast while all of them together stay under this; beyond it they are joined by host.
@@ -511,9 +578,8 @@ BROADCAST_BYTES = 16 << 20
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)`` for every page."""
     scratch = Scratch(pages.sparkSession, "wrappers")
-    to_plan = F.udf(lambda w: json.dumps(plan(json.loads(w))), "string")
-    wrappers = host_wrappers(pages, url_col, html_col)
-    plans = scratch.save(wrappers.select(F.col("host").alias("h"), to_plan("wrapper").alias("plan")), "plans")
+    plans = scratch.save(host_wrappers(pages, url_col, html_col, plan).select(
+        F.col("host").alias("h"), F.col("wrapper").alias("plan")), "plans")
     size = plans.agg(F.sum(F.length("plan") + F.length("h"))).first()[0] or 0
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
                        F.col(html_col).alias("html"), host(url_col).alias("host"))
