@@ -104,16 +104,16 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     got = {}
     for r in maxscore.top_k(df, lambda i: i % 20 == 0).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    good = {i: [math.floor(64 * x) for x in v] for i, v, _ in rows if v is not None and all(
-        x is not None and math.isfinite(x) for x in v)}
-    assert set(got) == {i for i in good if i % 20 == 0}
-    for q in got:
-        scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q)[:20]
+    good = [(i, [math.floor(64 * x) for x in v]) for i, v, _ in rows if v is not None and all(
+        x is not None and math.isfinite(x) for x in v)]
+    assert set(got) == {i for i, _ in good if i % 20 == 0}
+    for q in got:  # every row that is not the query's own, repeats included
+        scored = sorted((-sum(a * b for a, b in zip(u, v)), i) for j, u in good if j == q for i, v in good if i != q)[:20]
         assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scored)], q
     assert maxscore.top_k(df.limit(0), lambda i: i % 20 == 0).count() == 0
 
 
-def test_licenses_match_brute_force(spark):
+def test_licenses_match_brute_force(spark, monkeypatch):
     rng = random.Random(6)
     names = sorted(licenses.TEMPLATES)
     filler = lambda n: " ".join(rng.choices("alpha beta gamma delta epsilon".split(), k=n))
@@ -131,6 +131,12 @@ def test_licenses_match_brute_force(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
     assert licenses.scan_licenses(docs, {}).count() == 0
+    monkeypatch.setattr(licenses, "LITERAL_SHINGLES", 10)  # the join in place of the set, templates from a table
+    table = spark.createDataFrame(list(licenses.TEMPLATES.items()), "license string, body string")
+    assert {(r.doc_id, r.license): r.containment for r in licenses.scan_licenses(docs, table).collect()} == got
+    twice = docs.where("doc_id = 3").unionAll(docs.where("doc_id = 3")).withColumn("doc_id", F.lit(None).cast("long"))
+    each = licenses.scan_licenses(docs.where("doc_id = 3")).count()
+    assert each and licenses.scan_licenses(twice).count() == 2 * each
     with pytest.raises(ValueError):
         licenses.scan_licenses(docs, {"short": "too few"})
 
@@ -183,7 +189,7 @@ def test_main_text_of_odd_pages(spark):
     assert got[10] == "" and got[11] == "" and got[12] == "plain words only" and got[13] == "Open bold"
     assert wrappers.main_text(df.limit(0)).count() == 0
     a, b = wrappers.infer("<ul><li>a</li><li>b</li></ul>"), wrappers.infer("<ul><li>c</li></ul><p>more</p>")
-    assert wrappers.expression(wrappers.merge(a, b)) == '(<ul>(<li>#TEXT</>)+</> (<p>"more"</>)?)'
+    assert wrappers.expression(wrappers.merge(a, b)) == '(<ul>(<li>#TEXT</>)+</> (<p>#SAME</>)?)'
 
 
 def test_copies_of_a_page_are_no_template(spark):
@@ -206,13 +212,51 @@ def test_copies_of_a_page_are_no_template(spark):
         assert got[40 + i] == [f"Some text {i}"] and got[50 + i] == ["Lone title", "Some text 1"]
 
 
+def test_the_wrapper_decides(spark):
+    """Unmarked articles of a host that marks others, and the template's texts inside marked articles."""
+    body = "<p>{0} says something of its own that runs on for quite a while.</p><p>More about {0}.</p>"
+    side = '<div class="x9"><p>Top stories of the day, and of the week, and of the month, for everyone who reads {1}.</p></div>'
+    marked = "<body>" + side + '<div class="story" role="main">' + body + "<p>Share this with your friends</p></div></body>"
+    plain = "<body>" + side + '<div class="story">' + body + "<p>Share this with your friends</p></div></body>"
+    rows = [(i, "http://h/", marked.format(f"Page {i}", i)) for i in range(5)]
+    rows += [(10 + i, "http://h/", plain.format(f"Page {10 + i}", i)) for i in range(3)]
+    rows += [(20, "http://few/", marked.format("Page 20", 1)), (21, "http://few/", marked.format("Page 21", 2))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: [f"Page {i} says something of its own that runs on for quite a while.", f"More about Page {i}."]
+            for i, *_ in rows}
+    for cut in (1, 4, 7):
+        got = {r.page_id: r.text.split("\n\n") for r in wrappers.main_text(df.repartition(cut)).collect()}
+        for i in want:
+            assert got[i] == want[i] + ["Share this with your friends"] * (i >= 20)
+    alone = wrappers.extract(rows[6][2])
+    assert "Top stories" in alone and "Share this" in alone  # by itself the page does not tell
+
+
+def test_deep_and_wide_pages_are_read_whole():
+    deep = "<div>" * 100_000 + "core" + "</div>" * 50_000 + "<p>after</p>" + "</div>" * 50_000 + "and this is the end"
+    assert wrappers.extract(deep).split("\n\n") == ["core", "after", "and this is the end"]
+    mixed = "".join(f"<div>{i}" for i in range(300)) + "".join(f"</div>t{i}" for i in range(300))
+    out: list = []
+    wrappers._blocks(wrappers.parse(mixed), out, "", frozenset())
+    assert out == [str(i) for i in range(300)] + [f"t{i}" for i in range(300)]
+    nav = "<div>" * 100 + "<nav>" + "<div>" * 100 + "menu" + "</div>" * 100 + "</nav>kept"
+    assert wrappers.extract(nav) == "kept"
+    spans = "<p>" + "<span>" * 50_000 + "text" + "</b>" * 50_000
+    assert wrappers.extract(spans) == "text"
+    wide = "".join(f'<div class="c{i}">{i}</div>' for i in range(5000))
+    assert wrappers.extract(wide).split("\n\n") == [str(i) for i in range(5000)]
+    w = wrappers.infer(wide)
+    assert json.loads(json.dumps(wrappers.merge(w, wrappers.infer(deep))))[3] == 2
+    assert len(w[2]) == 1 and w[4] == wrappers.merge(w, w)[4] / 2
+
+
 def test_hosts_are_whole_over_flushes():
     hosts = [h for h in "abcdefg" for _ in range(5)]
     pages = [json.dumps(wrappers.infer(f"<p>{i}</p>")) for i in range(len(hosts))]
     for size in (1, 3, 4, 11):
         batches = [pa.RecordBatch.from_arrays([pa.array(hosts[a:a + size]), pa.array(pages[a:a + size])], names=["host", "wrapper"])
                    for a in range(0, len(hosts), size)]
-        got = [r for b in wrappers._fold_hosts(json.loads, 2)(iter(batches)) for r in b.to_pylist()]
+        got = [r for b in wrappers._fold_hosts(json.loads, limit=2)(iter(batches)) for r in b.to_pylist()]
         assert [(r["host"], json.loads(r["wrapper"])[3]) for r in got] == [(h, 5) for h in "abcdefg"]
 
 
@@ -240,7 +284,7 @@ def test_leaks_of_odd_rows(spark):
     docs = spark.createDataFrame(
         [(1, f"{noise} {item.upper()}! {noise}", 1), (2, noise, 1), (3, None, 1), (4, "", None), (5, item, 1), (5, item, 1),
          (6, item.replace("brown ", "") + " " + noise, 1)], "doc_id long, text string, codes long")
-    bench = spark.createDataFrame([(7, item, "a"), (8, None, "a"), (9, "...", "a"), (None, None, "a")],
+    bench = spark.createDataFrame([(7, item, "a"), (8, None, "a"), (9, "...", "a"), (None, None, "a"), (None, item, "a")],
                                   "item_id long, text string, answer string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, bench).collect()}
     assert got == {(1, 7), (5, 7), (6, 7)}
@@ -277,6 +321,12 @@ def test_shards(spark):
     assert len({r.shard for r in got if r.doc_id == 5}) == 1
     sizes = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, _ in rows)
     assert sorted((r["size"], r.text_crc32) for r in got) == sizes
+    def bids(key, n):  # the plain reading: the highest of the shards' draws
+        return max(range(n), key=lambda i: (int(hashlib.md5(f"{i}:{key}".encode()).hexdigest()[:13], 16), -i))
+
+    for r in got:
+        key = "null" if r.doc_id is None else r.doc_id
+        assert (r.shard, r.grown_shard) == (bids(key, 8), bids(key, 9))
     heavy = sharding.shard(df, "doc_id", [1.0, 3.0, 0.0])
     n = {r.shard: r["count"] for r in heavy.groupBy("shard").count().collect()}
     assert set(n) == {0, 1} and 2.4 < n[1] / n[0] < 3.7
@@ -302,13 +352,42 @@ def test_quality_of_odd_rows(spark):
     got = quality.predict(docs, quality.train(docs, labels)).collect()
     assert len(got) == 5 and len({r.score for r in got if r.doc_id == 3}) == 1
     assert quality.predict(docs.limit(0), quality.train(docs, labels)).count() == 0
-    bag = np.arange(1000)[:, None]
-    assert len(quality.spaced(bag)) == quality.SAMPLE_PASSAGES and len(quality.spaced(bag[:5])) == 5
+    assert [quality.within([3, 4, 5], m) for m in (1, 3, 6, 7, 12, 99)] == [1, 1, 1, 2, 3, 3]
+    assert len(quality.encode_passages("word " * 60_000)) == -(-300_000 // quality.PASSAGE_BYTES)
+
+
+def test_quality_reads_one_text_of_an_id_and_whole_bags(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y: seen.append((sorted(map(len, bags)), y.tolist())))
+    docs = spark.createDataFrame([(i, f"{i} words " * 2000, 0) for i in range(30)] + [(3, "other", 0)] * 4, "doc_id long, text string, y long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int")
+    for rows in (docs, docs.repartition(7)):
+        quality.train(rows, labels)
+        quality.train(rows, labels, sample_passages=40)
+    assert seen[0] == seen[2] and seen[1] == seen[3]
+    assert len(seen[0][0]) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(30))
+    assert sum(seen[1][0]) <= 40 and set(seen[1][0]) <= set(seen[0][0])
+
+
+def test_attention_matches_plain_sums():
+    rng = np.random.default_rng(5)
+    bags, labels = [rng.normal(size=(n, quality.FEATURES)).astype(np.float32) for n in (1, 3, 2, 5) * 4], np.tile([0.0, 1.0], 8)
+    model = quality.fit(bags, labels)
+    got = model.score(bags)
+    w = model.w
+    for bag, score in zip(bags, got):
+        h = [np.tanh(np.clip((x - model.mean) / model.scale, -6, 6) @ w["W"] + w["b"]) for x in bag.astype(float)]
+        e = [float(np.tanh(v @ w["V"]) / (1 + np.exp(-(v @ w["U"]))) @ w["a"]) for v in h]
+        share = [math.exp(x) / sum(map(math.exp, e)) for x in e]
+        z = sum(s * v for s, v in zip(share, h))
+        assert abs(score - 1 / (1 + math.exp(-(z @ w["c"] + w["d"])))) < 1e-9
 
 
 def test_keep_one_keeps_rows_without_id(spark):
     docs = spark.createDataFrame([(1, "a b c d e", 1), (2, "A b c d e", 1), (None, "a b c d e", 1), (1, "a b c d e", 1),
                                   (3, "quite another text here", 1)], "doc_id long, text string, fp long")
+    clash = docs.withColumnRenamed("fp", "text_hash")
+    assert simhash.keep_one(clash).columns == clash.columns and simhash.keep_one(clash).count() == 3
     kept = simhash.keep_one(docs)
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["1", "3", "None"] and kept.columns == docs.columns
 

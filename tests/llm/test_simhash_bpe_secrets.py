@@ -202,3 +202,20 @@ def test_secrets(spark):
     assert masked[9].text == f"value {secrets.MASK} end" and masked[100].text == rows[len(texts)][1]
     assert masked[0].text is None and masked[0].value == "v"
     assert secrets.scan_secrets(docs.limit(0)).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "source as owner", "'r' as repo", "1 as found", "2 as row", "3 as live")
+    again = secrets.mask_secrets(clash, owner=F.col("owner")).collect()
+    assert {r.doc_id: r.text for r in again} == {d: r.text for d, r in masked.items()}
+    assert {(r.repo, r.found, r.row, r.live) for r in again} == {("r", 1, 2, 3)}
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    def took(n):
+        text = " ".join(f"{LIVE}{i:06d} gh{'p'}_{'a1B2' * 9}{i}" for i in range(n))
+        began = time.process_time()
+        assert len(secrets.find(text)) == 2 * n
+        return time.process_time() - began
+
+    took(100)
+    assert took(16_000) < 16 * took(4_000) + 1

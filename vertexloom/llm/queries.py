@@ -81,7 +81,53 @@ QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_warc, op3_bpe, op4_maxscore, op5_licenses, op6_html, op7_decontaminate, op8_rendezvous,
     op9_secrets, op10_quality)}
 
+
+def _licenses_sql() -> str:
+    """Every text against every template, shingle by shingle."""
+    from vertexloom.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES, WORD
+
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
+    words = lambda text: f"regexp_extract_all(lower(coalesce({text}, '')), '{WORD}')"
+    shingle = " || ' ' || ".join(f"w[i + {j}]" for j in range(1, SHINGLE + 1))
+    grams = f"list_transform(range(0, len(w) - {SHINGLE - 1}), lambda i: {shingle})"
+    return f"""
+        with t as (select license, list_distinct({grams}) as g from (
+            select license, {words("body")} as w from (values {rows}) v(license, body))),
+        s as (select license, len(g) as n, unnest(g) as h from t),
+        d as (select row_number() over () as r, doc_id, {words("text")} as w from documents),
+        e as (select r, doc_id, unnest({grams}) as h, unnest(range(0, len(w) - {SHINGLE - 1})) as p from d),
+        m as (select r, any_value(doc_id) as doc_id, license, count(distinct h) / any_value(n)::double as containment,
+                     min(p) as word from e join s using (h) group by r, license)
+        select doc_id, license, containment, cast(word as integer) as word from m where containment >= {CONTAINMENT}"""
+
+
+def _shards_sql() -> str:
+    """The highest of the shards' draws wins, for eight shards and for nine."""
+    from vertexloom.llm.sharding import DIGITS
+
+    def winner(n: int) -> str:
+        draws = ", ".join(f"{{'u': ('0x' || md5('{i}:' || k)[1:{DIGITS}])::bigint, 'i': {-i}}}" for i in range(n))
+        return f"cast(-list_max([{draws}]).i as integer)"
+
+    raw = "coalesce(text, '')"
+    # the checksum byte by byte, from the table of its polynomial; a leading entry is the start value
+    step = "xor(c >> 8, tab[(xor(c, b) & 255) + 1])"
+    octets = f"list_transform(regexp_extract_all(hex(encode({raw})), '..'), lambda h: ('0x' || h)::bigint)"
+    return f"""
+        with tab as materialized (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, b: xor(c >> 1, 3988292384 * (c & 1))) order by i) as tab from range(256) r(i)),
+        d as (select doc_id, coalesce(cast(doc_id as varchar), 'null') as k, strlen({raw}) + 1 as size,
+                xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: {step}), 4294967295) as text_crc32
+              from documents, tab),
+        p as (select *, {winner(8)} as shard, {winner(9)} as grown_shard from d)
+        select doc_id, cast(size as bigint) as size, cast(text_crc32 as bigint) as text_crc32, 'key' as law, shard,
+               row_number() over (partition by shard order by doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard
+        from p"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_licenses": _licenses_sql(),
+    "op8_rendezvous": _shards_sql(),
     "op2_warc": """
         with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
         g as (select *, max(page_id) over (partition by d) as top from p)
