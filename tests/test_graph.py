@@ -129,6 +129,53 @@ def test_overlap_diameter_betweenness(spark):
         neighbours.overlap(path, [0])
 
 
+def slow_steps(pairs, n):
+    """All distances along pairs, as far as anything is reached."""
+    far = {(v, v): 0 for v in range(n)}
+    for k in range(n):
+        far |= {(s, b): k + 1 for (s, t), x in list(far.items()) if x == k for a, b in pairs if a == t and (s, b) not in far}
+    return far
+
+
+@pytest.mark.parametrize("directed", [True, False])
+def test_paths_match_brute_force(spark, directed):
+    rng = random.Random(9)
+    n = 11
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(17)]
+    g = graph(spark, edges, directed, n)
+    pairs = {(a, b) for a, b in edges if a != b} | {(b, a) for a, b in edges if a != b and not directed}
+    far = slow_steps(pairs, n)
+    count = {(v, v): 1 for v in range(n)}
+    for (s, t), k in sorted(far.items(), key=lambda x: x[1]):
+        if k:
+            count[s, t] = sum(count[s, a] for a, b in pairs if b == t and far.get((s, a)) == k - 1)
+    for vids in (None, [0, 3, 4]):
+        want = {v: sum(count[s, v] * count[v, t] / count[s, t] for s, t in far if v not in (s, t) and (vids is None or s in vids)
+                       and (s, v) in far and (v, t) in far and far[s, v] + far[v, t] == far[s, t]) for v in range(n)}
+        got = as_dict(neighbours.betweenness(g, vids, batch=4))
+        assert all(abs(got[v] - want[v] * (1 if directed else 0.5)) < 1e-9 for v in want)
+    size = {v: sum((a == v) + (b == v) for a, b in edges) for v in range(n)}
+    root = max(range(n), key=lambda v: (size[v], -v))
+    reach = {t: k for (s, t), k in far.items() if s == root}
+    end = max(reach, key=lambda v: (reach[v], -v))
+    back = [k for (s, t), k in far.items() if (t if directed else s) == end]
+    assert neighbours.diameter(g, directed=directed).first()[0] == max([*reach.values(), *back])
+    if directed:
+        assert as_dict(components.clusters(g, "strong")) == {
+            v: min(u for u in range(n) if (u, v) in far and (v, u) in far) for v in range(n)}
+
+
+def test_bad_arguments(spark):
+    g = graph(spark, [(0, 1)], True)
+    for order in (-1, 3):
+        with pytest.raises(ValueError):
+            triangles.local_scan(g, order)
+    with pytest.raises(ValueError):
+        kcore.kcore(g, 0)
+    with pytest.raises(ValueError):
+        kmeans.kmeans_graph(g, 0)
+
+
 def test_subgraph_and_spmv(spark):
     g = graph(spark, [(0, 5), (5, 9), (9, 0), (2, 5)], True)
     sub = subgraph.induced(g, [0, 5, 9])
@@ -141,30 +188,30 @@ def test_subgraph_and_spmv(spark):
     assert linalg.multiply(und).agg(F.sum("value")).first()[0] == 2 * und.ecount
 
 
-@pytest.mark.parametrize("local", [True, False])
-def test_spectral(spark, monkeypatch, local):
+def test_spectral(spark):
     rng = random.Random(4)
-    edges = sorted({tuple(sorted(rng.sample(range(9), 2))) for _ in range(18)})
-    n = 9
+    edges = sorted({tuple(sorted(rng.sample(range(7), 2))) for _ in range(12)})
+    # a second component like the first: every value occurs twice
+    edges += [(a + 7, b + 7) for a, b in edges]
+    n = 14
     a = np.zeros((n, n))
     for i, j in edges:
         a[i, j] = a[j, i] = 1
-    if not local:
-        monkeypatch.setattr(linalg, "LOCAL_ROWS", 0)
     g = graph(spark, edges, False, n)
     d = np.diag(a.sum(1))
-    r = np.diag(1 / np.sqrt(np.maximum(a.sum(1), 1e-300)))
-    for which, m in (("A", a), ("Aug", a + d / n), ("L", d - a), ("nL", np.diag((a.sum(1) > 0) * 1.0) - r @ a @ r)):
-        if not local and which in ("Aug", "L"):
-            continue
+    for which, m in (("Aug", a + d / n), ("L", d - a)):
         got = linalg.spectral_embedding(g, 3, which)
+        want = np.linalg.eigvalsh(m)
+        want = want[:3] if which == "L" else want[np.argsort(-np.abs(want))][:3]
+        assert np.allclose(got.values, want, atol=1e-7)
         x = np.zeros((n, 3))
         for row in got.vectors.collect():
             x[row.id, row.rank - 1] = row.value
-        assert np.abs(m @ x - x * got.values).max() < 1e-6
-    e = linalg.spectral_embedding(graph(spark, [(i, j) for i, j in edges], True, n), 2, "A")
-    b = np.triu(a)
-    assert np.allclose(e.values, np.linalg.svd(b)[1][:2])
+        assert np.abs(m @ x - x * got.values).max() < 1e-6 and np.allclose(x.T @ x, np.eye(3), atol=1e-6)
+    with pytest.raises(ValueError):
+        linalg.spectral_embedding(graph(spark, edges, True, n), 2, "L")
+    with pytest.raises(ValueError):
+        linalg.spectral_embedding(g, 2, "B")
 
 
 def test_kmeans(spark):
@@ -173,6 +220,11 @@ def test_kmeans(spark):
     labels = as_dict(got.cluster)
     assert len({labels[i] for i in range(0, 20, 2)}) == 1 and labels[0] != labels[1]
     assert sorted(r["size"] for r in got.sizes.collect()) == [10, 10]
+    two = graph(spark, [(0, 1), (0, 2), (1, 2), (3, 4), (3, 5), (4, 5)], False)
+    got = kmeans.kmeans_graph(two, 2, 4)
+    labels = as_dict(got.cluster)
+    assert set(labels) == set(range(6)) and len({labels[v] for v in (3, 4, 5)}) == 1
+    assert {(r.cluster, r.id) for r in got.centers.collect()} >= {(labels[3], v) for v in (3, 4, 5)}
 
 
 def test_sources(spark, tmp_path):

@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 from vertexloom.graph import Graph
 from vertexloom.plans.scratch import Scratch
 
-#: A matrix with at most this many entries and rows is solved in the driver's memory.
-LOCAL_ENTRIES, LOCAL_ROWS = 2_000_000, 3_000
-
 
 def sparse_matrix(graph: Graph) -> DataFrame:
     """``(i, j, v)``: the adjacency matrix; undirected graphs have both halves, weights count where present."""
@@ -84,7 +81,7 @@ def spectral_embedding(graph: Graph, nev: int, which: str = "A", c: float | None
     Laplacian and the normalised Laplacian of undirected graphs, smallest
     eigenvalues first; an isolated vertex has a zero row. Each vector's sign
     makes its component of largest magnitude positive. ``ncv`` is the least
-    number of Lanczos steps before convergence is tested (``2 * nev``).
+    number of steps of a search before convergence is tested (``2 * nev``).
     """
     if which not in ("A", "Aug", "L", "nL"):
         raise ValueError("which must be A, Aug, L or nL")
@@ -96,73 +93,82 @@ def spectral_embedding(graph: Graph, nev: int, which: str = "A", c: float | None
     matrix, end = _operators(graph, which, 1.0 / max(n, 1) if c is None else c)
     matrix = scratch.save(matrix, "matrix")
     ids = scratch.save(graph.vertices.select("id"), "ids")
-    if n <= LOCAL_ROWS and matrix.count() <= LOCAL_ENTRIES:
-        return _solve_local(graph, matrix, ids, nev, end, which)
     return _solve(graph, matrix, ids, nev, end, which, ncv or 2 * nev, tol, max_steps, scratch)
 
 
-def _signed(v: np.ndarray) -> np.ndarray:
-    return v * np.where(v[np.abs(v).argmax(0), np.arange(v.shape[1])] < 0, -1, 1)
-
-
 def _pick(values: np.ndarray, nev: int, end: str) -> np.ndarray:
     return np.argsort(values, kind="stable")[:nev] if end == "smallest" else np.argsort(-np.abs(values), kind="stable")[:nev]
 
 
-def _solve_local(graph, matrix, ids, nev, end, which) -> Embedding:
-    """Small matrices: dense decomposition in the driver."""
-    names = sorted(r.id for r in ids.collect())
-    at = {v: k for k, v in enumerate(names)}
-    a = np.zeros((len(names), len(names)))
-    for r in matrix.toLocalIterator():
-        a[at[r.i], at[r.j]] = r.v
-    long = lambda m: graph.spark.createDataFrame(
-        [(names[i], k + 1, float(m[i, k])) for i in range(len(names)) for k in range(m.shape[1])],
-        "id long, rank int, value double")
-    if graph.directed:
-        u, s, vt = np.linalg.svd(a)
-        flip = np.where(u[np.abs(u).argmax(0), np.arange(len(u))] < 0, -1, 1)
-        return Embedding(s[:nev].tolist(), long((u * flip)[:, :nev]), long((vt.T * flip)[:, :nev]), which)
-    values, vectors = np.linalg.eigh(a)
-    best = _pick(values, nev, end)
-    return Embedding(values[best].tolist(), long(_signed(vectors[:, best])), None, which)
+def _dots(met: DataFrame, step: int) -> np.ndarray:
+    """The products of ``w`` with the basis vectors, and with itself at the end."""
+    each = met.select("w", F.posexplode(F.concat("b", F.array("w"))).alias("p", "x"))
+    got = each.groupBy("p").agg(F.sum(F.col("w") * F.col("x")).alias("dot")).collect()
+    out = np.zeros(step + 1)
+    for r in got:
+        out[r.p] = r.dot
+    return out
+
+
+def _less(met: DataFrame, h: np.ndarray) -> DataFrame:
+    """``w`` without its parts along the basis."""
+    along = F.aggregate(F.zip_with("b", F.array(*[F.lit(float(x)) for x in h]), lambda x, y: x * y), F.lit(0.0),
+                        lambda t, x: t + x)
+    return met.withColumn("w", F.col("w") - along)
 
 
 def _solve(graph, matrix, ids, nev, end, which, ncv, tol, max_steps, scratch) -> Embedding:
-    """Lanczos with full reorthogonalisation; the basis stays a table ``(id, b array<double>)``.
+    """Krylov vectors with full reorthogonalisation; the basis stays a table ``(id, b array<double>)``.
 
-    Only the projected tridiagonal matrix and a step's dot products come to the
-    driver.
+    Only the projected matrix and a step's dot products come to the driver. When
+    the wanted values have settled the search goes on from a fresh vector, and
+    ends when that finds none to take their place; so values that occur several
+    times, as those of like components do, are all found.
     """
     apply = (lambda x: spmv(matrix, spmv(matrix, x, True))) if graph.directed else (lambda x: spmv(matrix, x))
-    u = (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_003)) / 1_000_003) - 0.5
-    start = ids.select("id", u.alias("value"))
+    n = graph.vcount
+
+    def fresh(seed: int):
+        return (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003) - 0.5
+
+    start = ids.select("id", fresh(1).alias("value"))
     norm = start.agg(F.sqrt(F.sum(F.col("value") ** 2))).first()[0] or 1.0
     basis = scratch.save(start.select("id", F.array(F.col("value") / norm).alias("b")), "basis")
-    alpha, beta = [], []
-    for step in range(1, min(max_steps, graph.vcount) + 1):
+    projected, loose, settled, since = np.zeros((0, 0)), {}, None, 0
+    for step in range(1, min(max_steps, n) + 1):
+        since += 1
         w = apply(basis.select("id", F.element_at("b", -1).alias("value")))
         met = scratch.save(basis.join(w, "id", "left").select("id", "b", F.coalesce("value", F.lit(0.0)).alias("w")), "w")
-        for _ in range(2):  # orthogonalise twice
-            dots = met.agg(F.array(*[F.sum(F.col("w") * F.col("b")[k]) for k in range(step)])).first()[0]
-            if len(alpha) < step:
-                alpha.append(dots[-1])
-            less = F.col("w")
-            for k, h in enumerate(dots):
-                less = less - F.lit(float(h)) * F.col("b")[k]
-            met = met.withColumn("w", less)
-        met = scratch.save(met, "w2")
-        b = met.agg(F.sqrt(F.sum(F.col("w") ** 2))).first()[0] or 0.0
-        t = np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1)
-        values, s = np.linalg.eigh(t)
+        h = _dots(met, step)[:-1]
+        grown = np.zeros((step, step))
+        grown[:-1, :-1] = projected
+        grown[-1, :] = grown[:, -1] = h
+        projected = grown
+        left = _less(met, h)
+        again = _dots(left, step)  # orthogonalise twice
+        left = _less(left, again[:-1])
+        size = max(again[-1] - (again[:-1] ** 2).sum(), 0.0) ** 0.5
+        values, s = np.linalg.eigh(projected)
         best = _pick(values, nev, end)
         scale = max(np.abs(values).max(), 1e-300)
-        enough = step >= max(ncv, nev)
-        if b <= 1e-12 * scale or (enough and (np.abs(b * s[-1, best]) <= tol * scale).all()):
+        off = np.sqrt(sum((x * s[j, best]) ** 2 for j, x in {**loose, step - 1: size}.items()))
+        ended = size <= 1e-10 * scale
+        if step == n or step == max_steps:
             break
-        beta.append(b)
-        nxt = scratch.save(met.select("id", F.concat("b", F.array(F.col("w") / b)).alias("b")), "basis")
+        if ended or (step >= nev and since >= ncv and (off <= tol * scale).all()):
+            found = values[best]
+            if step >= nev and settled is not None and len(settled) == len(found) and np.abs(found - settled).max() <= 1e-7 * scale:
+                break
+            # a vector of its own, free of all that is known, begins the next search
+            settled, since, loose[step - 1] = found, 0, 0.0 if ended else size
+            left = met.withColumn("w", fresh(step + 1))
+            for _ in range(2):
+                dots = _dots(left, step)
+                left = _less(left, dots[:-1])
+            size = _dots(left, step)[-1] ** 0.5
+        nxt = scratch.save(left.select("id", F.concat("b", F.array(F.col("w") / size)).alias("b")), "basis")
         scratch.drop(basis)
+        scratch.drop(met)
         basis = nxt
     coefficients = s[:, best]
     vectors = basis

@@ -1,10 +1,8 @@
-"""Core numbers by peeling."""
+"""Core numbers by H-indices."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.plans.scratch import Scratch
@@ -13,30 +11,29 @@ from vertexloom.plans.scratch import Scratch
 def kcore(graph: Graph, k_start: int = 2, k_end: int = 10) -> DataFrame:
     """``(id, core)``: the core number of every vertex by in- plus outgoing edges, repeats counted.
 
-    Vertices below ``k_start`` get ``k_start - 1``; those still left after
-    ``k_end`` get -1. ``k_end=0`` peels until nothing is left.
+    Vertices below ``k_start`` get ``k_start - 1``; those above ``k_end`` get -1,
+    ``k_end=0`` sets no end. Every vertex starts at its degree and takes the
+    H-index of its neighbours' values, the largest h such that h edges lead to
+    values of h or more, until nothing changes; the values then are the core
+    numbers (Lü et al. 2016). A vertex counts its edges by value first, so a hub
+    is summed within each task.
     """
     if k_start < 1 or (k_end and k_end < k_start):
         raise ValueError("need 1 <= k_start <= k_end, or k_end = 0")
     scratch = Scratch(graph.spark, "kcore")
     links = scratch.save(graph.sym.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
-    size = links.count()
-    alive, parts, k = graph.vertices.select("id"), [], k_start
+    top = F.lit(k_end + 1 if k_end else (1 << 62))
+    values = scratch.save(links.groupBy("src").agg(F.least(F.sum("n"), top).alias("c")), "values")
+    seen = None
     while True:
-        while True:  # drop links at either end of which too few are left, until none is dropped
-            strong = links.groupBy("src").agg(F.sum("n").alias("d")).where(F.col("d") >= k).select(F.col("src").alias("v"))
-            kept = scratch.save(links.join(strong, F.col("src") == F.col("v"), "left_semi").join(
-                strong, F.col("dst") == F.col("v"), "left_semi"), "links")
-            before, size, links = size, kept.count(), kept
-            if size == before:
-                break
-        left = scratch.save(links.select(F.col("src").alias("id")).distinct(), "alive")
-        parts.append(alive.join(left, "id", "left_anti").select("id", F.lit(k - 1).cast("long").alias("core")))
-        alive = left
-        if not size:
-            break
-        if k_end and k > k_end:
-            parts.append(alive.select("id", F.lit(-1).cast("long").alias("core")))
+        met = links.join(values.select(F.col("src").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("n").alias("n"))
+        so_far = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("c")))
+        nxt = scratch.save(met.select("src", F.least("c", so_far).alias("h")).groupBy("src").agg(F.max("h").alias("c")), "values")
+        scratch.drop(values)
+        values, total = nxt, nxt.agg(F.sum("c")).first()[0]
+        if total == seen:
             break
-        k += 1
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        seen = total
+    core = F.coalesce("c", F.lit(0))
+    return graph.vertices.join(values.withColumnRenamed("src", "id"), "id", "left").select("id", F.when(
+        core < k_start, k_start - 1).when(F.lit(bool(k_end)) & (core > k_end), -1).otherwise(core).cast("long").alias("core"))

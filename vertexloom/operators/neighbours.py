@@ -51,19 +51,18 @@ def distances(graph: Graph, start: DataFrame, scratch: Scratch, follow: bool = F
             steps = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     else:
         steps = graph.links
+    # an undirected step leads back at most one level, so the last two tell what is new
+    back = None if follow and graph.directed else 2
     steps = scratch.save(steps, "steps")
-    seen = scratch.save(start.select("id", F.lit(0).cast("long").alias("dist")), "seen")
-    level = 0
+    levels = [scratch.save(start.select("id", F.lit(0).cast("long").alias("dist")).distinct(), "level")]
     while True:
-        edge = seen.where(F.col("dist") == level).withColumnRenamed("id", "src")
-        new = steps.join(edge.select("src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(
-            seen, "id", "left_anti")
-        new = scratch.save(new.select("id", F.lit(level + 1).cast("long").alias("dist")), "level")
+        edge = levels[-1].select(F.col("id").alias("src"))
+        known = scratch.union(levels[-back:] if back else levels).select("id")
+        new = steps.join(edge, "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(known, "id", "left_anti")
+        new = scratch.save(new.select("id", F.lit(len(levels)).cast("long").alias("dist")), "level")
         if not new.limit(1).count():
-            return seen
-        nxt = scratch.save(seen.unionByName(new), "seen")
-        scratch.drop(seen)
-        seen, level = nxt, level + 1
+            return scratch.union(levels)
+        levels.append(new)
 
 
 def diameter(graph: Graph, directed: bool = False) -> DataFrame:
@@ -100,34 +99,33 @@ def betweenness(graph: Graph, vids: Iterable[int] | DataFrame | None = None, bat
     steps = scratch.save(steps.select(F.col("src").alias("v"), F.col("dst").alias("w")), "steps")
     sources = scratch.save((graph.vertices if vids is None else _listed(graph, vids)).select("id"), "sources")
     rounds = max(1, -(-sources.count() // batch))
-    total = None
+    sums = []
     for part in range(rounds):
         mine = sources.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == part)
-        got = _dependencies(mine, steps, scratch)
+        got = _dependencies(mine, steps, graph.directed, scratch)
         if got is not None:
-            total = got if total is None else total.unionByName(got)
+            sums.append(got)
     half = F.lit(1.0 if graph.directed else 0.5)
-    if total is None:
+    if not sums:
         return graph.vertices.select("id", F.lit(0.0).alias("betweenness"))
-    summed = total.groupBy("id").agg((F.sum("delta") * half).alias("b"))
+    summed = scratch.union(sums).groupBy("id").agg((F.sum("delta") * half).alias("b"))
     return graph.vertices.join(summed, "id", "left").select("id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
 
 
-def _dependencies(sources: DataFrame, steps: DataFrame, scratch: Scratch) -> DataFrame | None:
+def _dependencies(sources: DataFrame, steps: DataFrame, directed: bool, scratch: Scratch) -> DataFrame | None:
     """``(id, delta)``: summed dependencies of one batch of sources."""
     levels = [scratch.save(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("sigma")), "l0")]
-    # a vertex seen on the last two levels is all that an undirected step can return to; directed ones may go further back
-    seen = levels[0].select("s", "v")
     while True:
+        # an undirected step leads back at most one level; directed ones may go further back
+        known = scratch.union(levels if directed else levels[-2:]).select("s", "v")
         moved = levels[-1].join(steps, "v").groupBy("s", F.col("w").alias("v")).agg(F.sum("sigma").alias("sigma"))
-        new = scratch.save(moved.join(seen, ["s", "v"], "left_anti"), "level")
+        new = scratch.save(moved.join(known, ["s", "v"], "left_anti"), "level")
         if not new.limit(1).count():
             break
         levels.append(new)
-        seen = scratch.save(seen.union(new.select("s", "v")), "seen")
     if len(levels) < 3:
         return None
-    delta, out = None, None
+    delta, parts = None, []
     for k in range(len(levels) - 1, 0, -1):
         below = levels[k].select("s", F.col("v").alias("w"), F.col("sigma").alias("sw"))
         below = below.withColumn("dw", F.lit(0.0)) if delta is None else below.join(
@@ -136,6 +134,8 @@ def _dependencies(sources: DataFrame, steps: DataFrame, scratch: Scratch) -> Dat
             F.sum(F.col("sigma") / F.col("sw") * (1 + F.col("dw"))).alias("delta"))
         delta = scratch.save(up, "delta")
         if k > 1:
-            part = delta.groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("delta"))
-            out = part if out is None else out.unionByName(part)
+            parts.append(delta)
+    out = scratch.save(scratch.union(parts).groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("delta")), "sums")
+    for x in (*levels, *parts, delta):
+        scratch.drop(x)
     return out

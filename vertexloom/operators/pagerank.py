@@ -2,44 +2,67 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.plans.scratch import Scratch
 
 
+def _dealt(graph: Graph, scratch: Scratch, parts: int) -> tuple[DataFrame, DataFrame]:
+    """Edges ``(src, salt, dst, w)``, dealt out once by source and salt, and ``(id, salts)`` of the vertices.
+
+    A source with more than an even part of all edges gets several salts, so
+    that its edges are spread like everyone else's. The edges stay where they
+    are from step to step; a lost part is read again from the written table.
+    """
+    merged = graph.edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
+    out = graph.edges.groupBy("src").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("k"))
+    even = max(1, graph.edges.count() // parts)
+    salts = F.ceil(F.col("k") / even).cast("int")
+    edges = scratch.save(merged.join(out.withColumn("salts", salts), "src").select(
+        "src", F.pmod(F.xxhash64("dst"), "salts").cast("int").alias("salt"), "dst", (F.col("m") / F.col("n")).alias("w")), "edges")
+    vertices = scratch.save(graph.vertices.select("id").join(
+        out.select(F.col("src").alias("id"), salts.alias("salts")), "id", "left").select(
+        "id", F.coalesce("salts", F.lit(0)).alias("salts")), "vertices")
+    return edges.repartition(parts, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK), vertices
+
+
 def pagerank(graph: Graph, max_iters: int = 1000, damping: float = 0.85, tol: float | None = None,
              cut_every: int = 5) -> DataFrame:
     """``(id, rank)`` with ``rank(v) = (1 - d) + d * sum(rank(u) / outdegree(u))``; directed graphs only.
 
-    Starts at ``1 - d`` and stops after ``max_iters`` steps or when no rank moved
-    by more than ``tol`` (by default a thousandth of ``1 - d``; 0 never stops
-    early). Vertices without outgoing edges pass nothing on; repeated edges
-    carry their share each. Lineage is cut every ``cut_every`` steps.
+    Starts at ``1 - d`` and stops after ``max_iters`` steps or at the first
+    step at which no rank moved by more than ``tol`` (by default a thousandth of
+    ``1 - d``; 0 never stops early). Vertices without outgoing edges pass
+    nothing on; repeated edges carry their share each. A step sends the ranks to
+    the edges, which do not move, and sums what they pass on. Without a ``tol``
+    lineage is cut every ``cut_every`` steps, with one after each.
     """
     graph.need_directed("pagerank")
-    scratch = Scratch(graph.spark, "pagerank")
+    spark = graph.spark
+    scratch = Scratch(spark, "pagerank")
     tol = 1e-3 * (1 - damping) if tol is None else tol
-    out = graph.edges.groupBy("src").agg(F.count("*").alias("n"))
-    edges = scratch.save(graph.edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src").select(
-        "src", "dst", (F.col("m") / F.col("n")).alias("w")).repartition("src"), "edges")
-    start = scratch.save(graph.vertices.select("id", F.lit(1.0 - damping).alias("rank")), "start")
-    ranks, saved, steps = start, start, 0
+    burst = 1 if tol > 0 else cut_every
+    edges, vertices = _dealt(graph, scratch, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    base = vertices.select("id", "salts", F.lit(0.0).alias("s"))
+    ranks = saved = scratch.save(vertices.select("id", "salts", F.lit(1.0 - damping).alias("rank")), "ranks")
+    steps = 0
     while steps < max_iters:
-        burst = min(cut_every, max_iters - steps)
-        for _ in range(burst):
-            prev = ranks
-            came = prev.withColumnRenamed("id", "src").join(edges, "src").groupBy("dst").agg(
-                F.sum(F.col("rank") * F.col("w")).alias("s")).withColumnRenamed("dst", "id")
-            ranks = prev.join(came, "id", "left").select(
-                "id", (F.lit(1.0 - damping) + damping * F.coalesce("s", F.lit(0.0))).alias("rank"),
-                F.abs(F.lit(1.0 - damping) + damping * F.coalesce("s", F.lit(0.0)) - F.col("rank")).alias("moved"))
-        steps += burst
-        nxt = scratch.save(ranks, "ranks")
-        if saved is not start:
-            scratch.drop(saved)
-        saved = nxt
-        ranks = nxt.select("id", "rank")
-        if tol > 0 and (nxt.agg(F.max("moved")).first()[0] or 0.0) <= tol:
+        for _ in range(min(burst, max_iters - steps)):
+            sent = ranks.where("salts > 0").select(
+                F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rank")
+            passed = sent.join(edges, ["src", "salt"]).select(
+                F.col("dst").alias("id"), F.lit(0).alias("salts"), (F.col("rank") * F.col("w")).alias("s"))
+            ranks = passed.unionByName(base).groupBy("id").agg(F.max("salts").alias("salts"), F.sum("s").alias("s")).select(
+                "id", "salts", (F.lit(1.0 - damping) + damping * F.col("s")).alias("rank"))
+            steps += 1
+        ranks = scratch.save(ranks, "ranks")
+        still = tol > 0 and not ranks.join(saved.select("id", F.col("rank").alias("old")), "id").where(
+            F.abs(F.col("rank") - F.col("old")) > tol).limit(1).count()
+        scratch.drop(saved)
+        saved = ranks
+        if still:
             break
+    edges.unpersist()
     return ranks.select("id", "rank")

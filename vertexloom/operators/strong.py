@@ -40,12 +40,17 @@ def strong_components(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
     for _ in range(max_rounds):
         while True:  # trim
             keep = scratch.save(edges.select(F.col("src").alias("id")).intersect(edges.select(F.col("dst").alias("id"))), "core")
-            if not alive.join(keep, "id", "left_anti").limit(1).count():
+            gone = scratch.save(alive.join(keep, "id", "left_anti").select("id", F.col("id").alias("component")), "trimmed")
+            if not gone.limit(1).count():
+                scratch.drop(gone)
+                scratch.drop(keep)
                 break
-            done.append(alive.join(keep, "id", "left_anti").select("id", F.col("id").alias("component")))
-            edges = scratch.save(edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(
+            done.append(gone)
+            left = scratch.save(edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(
                 keep.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
-            alive = keep
+            scratch.drop(edges)
+            scratch.drop(alive)
+            edges, alive = left, keep
         if not alive.limit(1).count():
             break
         colour = _spread(alive.select("id", F.col("id").alias("colour")), edges, scratch, max_rounds)
@@ -56,12 +61,15 @@ def strong_components(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
         # backwards from each colour's own vertex; the mark 0 spreads, 1 stays
         back = _spread(colour.select("id", F.when(F.col("id") == F.col("colour"), F.lit(0)).otherwise(F.lit(1)).cast(
             "long").alias("colour")), inside, scratch, max_rounds)
-        found = scratch.save(back.where("colour = 0").select("id").join(colour, "id"), "found")
-        done.append(found.select("id", F.col("colour").alias("component")))
-        alive = scratch.save(alive.join(found, "id", "left_anti"), "alive")
-        edges = scratch.save(edges.join(alive.withColumnRenamed("id", "src"), "src", "left_semi").join(
-            alive.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
-    out = graph.spark.createDataFrame([], "id long, component long")
-    for d in done:
-        out = out.union(d)
-    return out
+        found = scratch.save(back.where("colour = 0").select("id").join(colour, "id").select(
+            "id", F.col("colour").alias("component")), "found")
+        done.append(found)
+        rest = scratch.save(alive.join(found, "id", "left_anti"), "alive")
+        left = scratch.save(edges.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(
+            rest.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
+        for x in (alive, edges, colour, inside, back):
+            scratch.drop(x)
+        alive, edges = rest, left
+    if not done:
+        return graph.spark.createDataFrame([], "id long, component long")
+    return scratch.union(done)

@@ -28,3 +28,17 @@ def returned_together(spark: SparkSession, sf_dir: str, all_parts: bool = False)
     e = Scratch(spark, "derived").save(e, "together")
     parts = _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id")) if all_parts else None
     return Graph.from_edges(e, directed=False, vertices=parts, name="returned_together")
+
+
+def traded(spark: SparkSession, sf_dir: str, directed: bool = True) -> Graph:
+    """Weighted: order lines from each supplier's nation to each other customer's nation; undirected, both ways together."""
+    line = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    buyer = _read(spark, sf_dir, "orders").join(
+        _read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    seller = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    e = line.join(buyer, F.col("l_orderkey") == F.col("o_orderkey")).join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
+    e = e.select(F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dst")).where("src <> dst")
+    if not directed:
+        e = e.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    e = e.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    return Graph.from_edges(Scratch(spark, "derived").save(e, "traded"), weight="weight", directed=directed, name="traded")

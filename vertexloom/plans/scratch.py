@@ -59,6 +59,11 @@ class Scratch:
         out._vertexloom_path = path
         return out
 
+    def union(self, frames: list[DataFrame]) -> DataFrame:
+        """The rows of several saved frames of one schema, as a single scan."""
+        paths = [f._vertexloom_path for f in frames]
+        return self.spark.read.schema(frames[0].schema).parquet(*paths)
+
     def drop(self, df: DataFrame | None) -> None:
         """Delete what ``save`` returned; nothing may read it afterwards."""
         path = getattr(df, "_vertexloom_path", None)
