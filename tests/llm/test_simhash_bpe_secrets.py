@@ -208,6 +208,32 @@ def test_secrets(spark):
     assert {(r.repo, r.found, r.row, r.live) for r in again} == {("r", 1, 2, 3)}
 
 
+def test_added_spans_match_sql(spark, tmp_path):
+    """Provider and mixed spans, overlaps and owners against the registered SQL, which real tables hardly exercise."""
+    import duckdb
+
+    from vertexloom.llm import queries
+
+    tokens = [LIVE, LIVE.swapcase(), "ghp_" + "a1B2" * 9, "AIza" + "x9Y_" * 9, "sk_live_" + "a" * 24, "A" * 40, "AKIA" + "Z9" * 10,
+              "deadbeef" * 4, "x/" * 20 + "A1", "-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM"]
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        parts = [rng.choice([x, f"token={x}", f'"secret" : "{x}"', f"é{x}"]) for x in rng.sample(tokens, rng.randint(0, 4))]
+        rows.append((i, rng.choice([" ", "\n", ""]).join(["word", *parts]) if i % 9 else None, rng.choice(["a", "b", None]), "xx"))
+    rows += [(500, "ghp_" + "c3D4" * 9, "a", "xx"), (501, "one " + LIVE[::-1], None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_secrets(spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(queries.ORACLE_SQL["op9_secrets"])
+    names = sorted(want.columns)
+    rows = sorted(tuple(r[c] for c in names) for r in got.collect())
+    assert rows == sorted(want.project(", ".join(names)).fetchall())
+    assert any("mixed" in r.spans for r in got.collect()) and any("provider" in r.spans for r in got.collect())
+
+
 def test_many_spans_take_linear_time():
     import time
 

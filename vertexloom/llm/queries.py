@@ -125,7 +125,53 @@ def _shards_sql() -> str:
         from p"""
 
 
+def _secrets_sql() -> str:
+    """Spans by pattern, their places from the pieces between them, and the owners of their values."""
+    from vertexloom.llm import secrets
+
+    names = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+                     for w in ("password", "passwd", "secret", "token", "api_?key"))
+    base = {"assign": rf"""(?:{names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+            "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]{24,}"}
+    added = {"provider": secrets._PROVIDER.pattern, "mixed": secrets._MIXED.pattern}
+    least = {"assign": 6, "access": 20, "hex": 24}
+    mixed = """regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Z]') and regexp_matches(value, '[a-z]')
+        and len(value) - len(replace(value, '/', '')) <= 2 and list_aggregate(string_split(value, ''), 'entropy') >= 4.2"""
+    parts, order = [], [*base, *added]
+    for kind, pattern in (base | added).items():
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"""select r, '{kind}' as kind, {order.index(kind)} as o, whole, value, begun from (
+            select r, unnest(m) as whole, unnest(regexp_extract_all(t, {p}, {int(kind == "assign")})) as value,
+              unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))) as begun
+            from (select r, t, regexp_extract_all(t, {p}) as m, regexp_split_to_array(t, {p}) as g from d) where len(m) > 0)""")
+    keep = " or ".join(f"(kind = '{k}' and length(value) >= {n})" for k, n in least.items())
+    free = "not exists (select 1 from {} y where y.r = x.r and y.begun < x.ended and x.begun < y.ended)"
+    joined = "coalesce(string_agg(kind || ':' || begun || ':' || ended, ',' order by begun, o, ended){}, '')"
+    n = "cast(count(*) filter (kind = '{}') as bigint) as n_{}"
+    return f"""
+        with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t, coalesce(source, '') as owner,
+              concat_ws('/', source, lang) as repo from documents),
+        every as materialized (select r, kind, o, value, cast(begun as bigint) as begun, cast(begun + length(whole) as bigint) as ended
+              from ({" union all ".join(parts)})),
+        base as materialized (select * from every where {keep}),
+        given as materialized (select * from every x where kind = 'provider' and {free.format("base")}),
+        odd as (select * from every x where kind = 'mixed' and {mixed} and {free.format("base")} and {free.format("given")}),
+        spans as materialized (from base union all from given union all from odd),
+        owned as (select value, count(distinct owner) as owners from spans join d using (r) group by value),
+        told as (select *, owners <= {secrets.MAX_OWNERS} as live from spans join owned using (value)),
+        said as (select r, {n.format("assign", "assign")}, {n.format("access", "access")}, {n.format("hex", "hex")},
+              sha256({joined.format(" filter (o < 3)")}) as base_sha256, {joined.format(" filter (o < 3 or live)")} as spans,
+              cast(count(*) filter (live) as bigint) as n_live, cast(count(*) filter (not live) as bigint) as n_copied
+              from told group by r)
+        select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+               coalesce(base_sha256, sha256('')) as base_sha256, coalesce(spans, '') as spans,
+               coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied
+        from d left join said using (r)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_secrets": _secrets_sql(),
     "op5_licenses": _licenses_sql(),
     "op8_rendezvous": _shards_sql(),
     "op2_warc": """
