@@ -8,7 +8,9 @@ short fragments. Fragments of one length are merged together as rows of a
 matrix; a piece met before comes from a bounded memo.
 
 Defined cases: a null text is the empty text with no tokens; special tokens in a
-text become their ids, as the tokenizers library does by default; lone
+text become their ids, as the tokenizers library does by default; of merges that
+tie in rank the leftmost comes first; a text of any length is encoded whole, in
+runs of pieces that bound what is in memory beside its ids; lone
 surrogates cannot occur in the UTF-8 tables; rows repeat as they do in the
 input; other columns are ignored; an empty table gives an empty result.
 """
