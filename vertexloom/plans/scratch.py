@@ -3,18 +3,20 @@
 Every table goes to the shared folder named in ``spark.checkpoint.dir``, so a
 lost executor never takes the only copy of a result with it. A folder of our
 own is made only where that setting is empty, and only in local mode, where the
-driver and the executors are one process.
+driver and the executors are one process. What is left of the tables when the
+process ends is deleted then.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-_made: list[str] = []
+_made: dict[str, tuple] = {}  # folder: what can delete it when the session may have stopped
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,7 +47,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
-        _made.append(self.root)
+        _made[self.root] = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -74,4 +76,14 @@ class Scratch:
 def purge(spark: SparkSession) -> None:
     """Delete every scratch folder this process made; results that still read them are lost."""
     while _made:
-        delete(spark, _made.pop())
+        delete(spark, _made.popitem()[0])
+
+
+@atexit.register
+def _at_exit() -> None:
+    for root, (jvm, conf) in _made.items():
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(root)
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # the JVM has gone, and whoever stopped it has the folder
+            return
