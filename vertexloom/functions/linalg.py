@@ -73,7 +73,7 @@ def _added(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def spectral_embedding(graph: Graph, nev: int, which: str = "A", c: float | None = None, ncv: int | None = None,
-                       tol: float = 1e-9, max_steps: int = 300) -> Embedding:
+                       tol: float = 1e-12, max_steps: int = 300) -> Embedding:
     """Leading eigenpairs, or singular triplets for directed graphs.
 
     ``A``: adjacency. ``Aug``: adjacency plus ``c`` times the degree diagonal

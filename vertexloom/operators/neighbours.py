@@ -35,7 +35,12 @@ def overlap(graph: Graph, vids: Iterable[int] | DataFrame) -> DataFrame:
     d = near.groupBy("src").agg(F.count("*").alias("d"))
     a = near.select(F.col("src").alias("vid_i"), "dst")
     b = near.select(F.col("src").alias("vid_j"), "dst")
-    common = a.join(b, "dst").groupBy("vid_i", "vid_j").agg(F.count("*").alias("common"))
+    # each pair is counted once and shown both ways
+    half = a.join(b, "dst").where("vid_i <= vid_j").groupBy("vid_i", "vid_j").agg(F.count("*").alias("common"))
+    same = F.array(F.struct("vid_i", "vid_j"))
+    ways = F.array(F.struct("vid_i", "vid_j"), F.struct(F.col("vid_j").alias("vid_i"), F.col("vid_i").alias("vid_j")))
+    common = half.select("common", F.explode(F.when(F.col("vid_i") == F.col("vid_j"), same).otherwise(ways)).alias("p")).select(
+        "p.*", "common")
     return common.join(d.select(F.col("src").alias("vid_i"), F.col("d").alias("di")), "vid_i").join(
         d.select(F.col("src").alias("vid_j"), F.col("d").alias("dj")), "vid_j").select(
         "vid_i", "vid_j", "common",

@@ -20,9 +20,13 @@ def returned_in_turn(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(Scratch(spark, "derived").save(e, "turn"), name="returned_in_turn")
 
 
-def returned_together(spark: SparkSession, sf_dir: str, all_parts: bool = False) -> Graph:
-    """Undirected: parts returned in one order in quantities over 40; ``all_parts`` adds every other part as an isolate."""
-    li = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select("l_orderkey", "l_partkey")
+def returned_together(spark: SparkSession, sf_dir: str, all_parts: bool = False, bulk: bool = False) -> Graph:
+    """Undirected: parts returned in one order; ``all_parts`` adds every other part as an isolate.
+
+    ``bulk`` counts only returns in quantities over 40, which falls into many small components.
+    """
+    li = _read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    li = (li.where("l_quantity > 40") if bulk else li).select("l_orderkey", "l_partkey")
     a, b = li.withColumnRenamed("l_partkey", "src"), li.withColumnRenamed("l_partkey", "dst")
     e = a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct()
     e = Scratch(spark, "derived").save(e, "together")

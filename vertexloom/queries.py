@@ -25,8 +25,9 @@ _TURN = """e as (select distinct l_partkey s, np d from (
   v as (select s id from e union select d from e)"""
 _TOGETHER = """e as (select distinct a.l_partkey s, b.l_partkey d from lineitem a join lineitem b
     on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey
-    where a.l_returnflag = 'R' and b.l_returnflag = 'R' and a.l_quantity > 40 and b.l_quantity > 40),
+    where a.l_returnflag = 'R' and b.l_returnflag = 'R'),
   v as (select s id from e union select d from e)"""
+_BULK = _TOGETHER.replace("b.l_returnflag = 'R')", "b.l_returnflag = 'R' and a.l_quantity > 40 and b.l_quantity > 40)")
 _LINKS = ", n as (select distinct s, d from (select s, d from e union all select d, s from e) where s <> d)"
 _REACH = """, r as (select id, id m from v union select n.d, r.m from r join n on r.id = n.s where r.m < n.d),
   c as (select id, min(m) component from r group by id)"""
@@ -215,10 +216,15 @@ def wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(returned_together(spark, sf_dir))
 
 
-@_query(f"""with recursive {_TOGETHER}{_LINKS}{_REACH}
+@_query(f"with recursive {_BULK}{_LINKS}{_REACH} select id, component from c")
+def wcc_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(returned_together(spark, sf_dir, bulk=True))
+
+
+@_query(f"""with recursive {_BULK}{_LINKS}{_REACH}
   select p_partkey as id, coalesce(component, 4294967295) as component from part left join c on p_partkey = id""")
 def wcc_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clusters(returned_together(spark, sf_dir, all_parts=True))
+    return clusters(returned_together(spark, sf_dir, all_parts=True, bulk=True))
 
 
 @_query(f"""with {_TOGETHER}{_DEGREE} select p_partkey as id, cast(coalesce(k, 0) as bigint) as degree
@@ -233,14 +239,23 @@ def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(returned_in_turn(spark, sf_dir), "strong")
 
 
-@_query(f"""with recursive {_TOGETHER}{_LINKS}{_REACH},
-  big as (select component from c group by component order by count(*) desc, component limit 1),
-  m as (select id, row_number() over (order by id) - 1 as k from c where component = (select component from big))
-  select a.k as src, b.k as dst from e join m a on e.s = a.id join m b on e.d = b.id""")
+def _largest_sql(graph: str) -> str:
+    return f"""with recursive {graph}{_LINKS}{_REACH},
+      big as (select component from c group by component order by count(*) desc, component limit 1),
+      m as (select id, row_number() over (order by id) - 1 as k from c where component = (select component from big))
+      select a.k as src, b.k as dst from e join m a on e.s = a.id join m b on e.d = b.id"""
+
+
+@_query(_largest_sql(_TOGETHER))
 def lcc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return largest_component(returned_together(spark, sf_dir)).edges
 
 
+@_query(_largest_sql(_BULK))
+def lcc_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return largest_component(returned_together(spark, sf_dir, bulk=True)).edges
+
+
 @_query(f"""with {_TURN}{_DEGREE}, keep as (select id from g where k >= 10)
   select s as src, d as dst from e where s in (select id from keep) and d in (select id from keep)""")
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,7 +342,7 @@ def _core_sql(graph: str, rounds: int) -> str:
     return sql + f", core as (select v.id, coalesce(c, 0) as c from v left join h{rounds} h on v.id = h.id)"
 
 
-@_query(_core_sql(_TOGETHER, 12) + " select id, cast(c as bigint) as core from core")
+@_query(_core_sql(_TOGETHER, 40) + " select id, cast(c as bigint) as core from core")
 def kcore_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kcore(returned_together(spark, sf_dir), 1, 0)
 
@@ -391,11 +406,11 @@ def _paths_sql(graph: str, steps: str, sources: str, depth: int, share: str) ->
       select v.id, round(coalesce(b, 0.0), 6) as betweenness from v left join b on v.id = b.id"""
 
 
-@_query(_paths_sql(_TOGETHER, "select s, d from (select s, d from e union all select d, s from e) where s <> d",
+@_query(_paths_sql(_BULK, "select s, d from (select s, d from e union all select d, s from e) where s <> d",
                    "select id from v order by id limit 50", 12, "0.5"))
 def betweenness_vids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From the fifty smallest ids."""
-    g = returned_together(spark, sf_dir)
+    g = returned_together(spark, sf_dir, bulk=True)
     return _round(betweenness(g, g.vertices.orderBy("id").limit(50)), "betweenness")
 
 
@@ -410,19 +425,11 @@ def betweenness_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(betweenness(Graph.from_edges(e)), "betweenness")
 
 
-@_query(f"""with recursive {_TOGETHER}{_LINKS},
-  far as (select id as s, id as t, 0 as k from v union select far.s, n.d, far.k + 1 from far join n on far.t = n.s
-    where far.k < 12),
-  dist as (select s, t, min(k) as k from far group by s, t),
-  walk as (select id as s, id as t, 0 as k, 1.0::double as paths from v union all
-    select walk.s, n.d, walk.k + 1, sum(walk.paths) from walk join n on walk.t = n.s
-    join dist on dist.s = walk.s and dist.t = n.d and dist.k = walk.k + 1 group by walk.s, n.d, walk.k),
-  b as (select x.t as id, sum(x.paths * y.paths / z.paths) / 2 as b from walk x join walk y on x.t = y.s
-    join walk z on z.s = x.s and z.t = y.t where z.k = x.k + y.k and x.k > 0 and y.k > 0 group by x.t)
-  select v.id, round(coalesce(b, 0.0), 6) as betweenness from v left join b on v.id = b.id""", "betweenness")
+@_query(_paths_sql(_BULK, "select s, d from (select s, d from e union all select d, s from e) where s <> d",
+                   "select id from v", 12, "0.5"), "betweenness")
 def betweenness_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From all sources."""
-    return _round(betweenness(returned_together(spark, sf_dir)), "betweenness")
+    return _round(betweenness(returned_together(spark, sf_dir, bulk=True)), "betweenness")
 
 
 def _product(a: str, b: str) -> str:
