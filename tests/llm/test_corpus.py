@@ -221,13 +221,19 @@ def test_the_wrapper_decides(spark):
     rows = [(i, "http://h/", marked.format(f"Page {i}", i)) for i in range(5)]
     rows += [(10 + i, "http://h/", plain.format(f"Page {10 + i}", i)) for i in range(3)]
     rows += [(20, "http://few/", marked.format("Page 20", 1)), (21, "http://few/", marked.format("Page 21", 2))]
+    # one page that calls everything its main text does not speak for its host
+    odd = plain.replace("<body>", '<body role="main">')
+    rows += [(30 + i, "http://odd/", marked.format(f"Page {30 + i}", i)) for i in range(3)]
+    rows += [(40, "http://odd/", odd.format("Page 40", 7))]
+    # numbers in class names differ from page to page and do not tell places apart
+    rows += [(50 + i, "http://numbers/", marked.replace("story", f"story post-{i}").format(f"Page {50 + i}", i)) for i in range(5)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     want = {i: [f"Page {i} says something of its own that runs on for quite a while.", f"More about Page {i}."]
             for i, *_ in rows}
     for cut in (1, 4, 7):
         got = {r.page_id: r.text.split("\n\n") for r in wrappers.main_text(df.repartition(cut)).collect()}
         for i in want:
-            assert got[i] == want[i] + ["Share this with your friends"] * (i >= 20)
+            assert got[i] == want[i] + ["Share this with your friends"] * (20 <= i < 30)
     alone = wrappers.extract(rows[6][2])
     assert "Top stories" in alone and "Share this" in alone  # by itself the page does not tell
 

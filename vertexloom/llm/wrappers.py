@@ -8,8 +8,9 @@ are folded within each task, partial wrappers in two further rounds, so a host
 with a third of all pages is combined like any sum.
 
 The wrapper decides what of a page is its main text. It tells where that lies:
-at the paths that any of the host's pages marks as main, also on pages that mark
-nothing; without marks, where most of the running text is. And it tells what the
+at the paths that at least half of the host's pages that have them mark as main,
+also on pages that mark nothing; without marks, where most of the running text
+is. And it tells what the
 template says there: a text that every page of the host has at the same path is
 no page's own and is left out, provided that at least ``TEMPLATE_PAGES`` pages
 differ in what else they say. Pages whose longest texts agree count as copies of
@@ -67,6 +68,8 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEMPLATE_PAGES = 4
 #: Levels of block elements that keep their nesting.
 DEPTH = 40
+#: Paths of main elements that a wrapper keeps, those that most pages mark; others are read by their pages' own marks.
+MAIN_PATHS = 64
 #: Siblings after folding beyond which they become one repeated group of optional elements.
 SIBLINGS = 200
 
@@ -91,7 +94,7 @@ def _marks(tag: str) -> tuple[str, set[str], str, bool]:
             hidden |= value == "true"
         elif kind in ("class", "id"):
             if kind == "class":
-                label = ".".join(sorted(value.split()))
+                label = ".".join(sorted(re.sub(r"\d+", "#", value).split()))  # numbers tell pages apart, not places
             words |= set(re.split(r"[\s_-]+", value))
     return label, words, role, hidden
 
@@ -229,8 +232,8 @@ def parse(page: str) -> Node:
 
 # A wrapper node is [label, flags, items, pages, chars, link chars]; flags: 1 optional, 2 repeated, 4 furniture, 8 main.
 # A text slot is ["#", flags, the constant's digest or None, pages, chars, link chars]; a repeated group has the label "()".
-# The root has two more entries: the smallest TEMPLATE_PAGES digests of its pages' longest texts, and the digests of the
-# texts, each with its path, that all of its pages have.
+# The root has three more entries: the smallest TEMPLATE_PAGES digests of its pages' longest texts, the digests of the
+# texts, each with its path, that all of its pages have, and how many pages mark a path as main.
 
 OPTIONAL, REPEATED, CHROME, MAIN = 1, 2, 4, 8
 
@@ -373,12 +376,15 @@ def infer(page: str) -> list:
     root = parse(page)
     said = list(_texts(root))
     longest = max((t for _, t in said), key=len, default="")
-    return [*_of_page(root), [_digest(longest)], sorted({_at(p, t) for p, t in said})]
+    return [*_of_page(root), [_digest(longest)], sorted({_at(p, t) for p, t in said}), {p: 1 for _, p in _marked(root)}]
 
 
 def merge(a: list, b: list) -> list:
     """The wrapper of all pages that either wrapper stands for."""
-    return [*_merge(a, b), sorted({*a[6], *b[6]})[:TEMPLATE_PAGES], sorted({*a[7]} & {*b[7]})]
+    marks = {p: a[8].get(p, 0) + b[8].get(p, 0) for p in {**a[8], **b[8]}}
+    if len(marks) > MAIN_PATHS:
+        marks = {p: marks[p] for p in sorted(marks, key=lambda p: (-marks[p], p))[:MAIN_PATHS]}
+    return [*_merge(a, b), sorted({*a[6], *b[6]})[:TEMPLATE_PAGES], sorted({*a[7]} & {*b[7]}), marks]
 
 
 def expression(w: list) -> str:
@@ -394,8 +400,6 @@ def expression(w: list) -> str:
 
 def plan(w: list) -> dict:
     """What extraction needs: the paths of the main elements, and the template's texts."""
-    marked: set = set()
-
     def own(x: list) -> tuple[int, int]:
         """Characters and link characters outside furniture."""
         if x[1] & CHROME:
@@ -405,20 +409,23 @@ def plan(w: list) -> dict:
         found = [own(k) for k in x[2]]
         return sum(f[0] for f in found), sum(f[1] for f in found)
 
-    def walk(x: list, path: tuple) -> None:
-        if x[0] == "#" or x[1] & CHROME:
-            return
-        here = path if x[0] in ("", "()") else (*path, x[0])
-        if x[1] & MAIN:
-            marked.add(here)
-            return
-        for k in x[2]:
-            walk(k, here)
-
-    walk(w, ())
+    marks = w[8] if len(w) > 6 else {}
+    begun = {p[:i] for p in marks for i, c in enumerate(p) if c == "/"} | set(marks)
+    present: dict[str, int] = {}
+
+    def walk(x: list, path: str) -> None:
+        if x[0] != "#" and path in begun:
+            if path in marks:
+                present[path] = max(present.get(path, 0), x[3])
+            for k in x[2]:
+                for y in k[2] if k[0] == "()" else [k]:
+                    walk(y, f"{path}/{y[0]}")
+
+    walk(w, "")
     constants = w[7] if len(w) > 6 and len(w[6]) >= TEMPLATE_PAGES else []
+    marked = sorted(p for p, n in marks.items() if 2 * n >= present.get(p, n))
     if marked:
-        return {"main": sorted(map(list, marked)), "constants": constants}
+        return {"main": marked, "constants": constants}
     # no element says it is the main one: go down while one child holds most of the running text
     node, path = w, ()
     while True:
@@ -432,12 +439,12 @@ def plan(w: list) -> dict:
             break
         node = flat[-scored[0][1]]
         path = (*path, node[0])
-    return {"main": [list(path)], "constants": constants}
+    return {"main": ["".join(f"/{x}" for x in path)], "constants": constants}
 
 
-def _find(root: Node, paths: list[list[str]]) -> list[tuple[Node, str]]:
+def _find(root: Node, paths: list[str]) -> list[tuple[Node, str]]:
     """The page's elements at any of the paths with their paths, in page order, none inside another."""
-    wanted = {"".join(f"/{x}" for x in p) for p in paths}
+    wanted = set(paths)
     if "" in wanted:
         return [(root, "")]
     begun = {w[:i] for w in wanted for i, c in enumerate(w) if c == "/"} | wanted
