@@ -45,21 +45,24 @@ def pagerank(graph: Graph, max_iters: int = 1000, damping: float = 0.85, tol: fl
     tol = 1e-3 * (1 - damping) if tol is None else tol
     burst = 1 if tol > 0 else cut_every
     edges, vertices = _dealt(graph, scratch, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    base = vertices.select("id", "salts", F.lit(0.0).alias("s"))
+    base = vertices.select("id", "salts", F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("old"))
     ranks = saved = scratch.save(vertices.select("id", "salts", F.lit(1.0 - damping).alias("rank")), "ranks")
     steps = 0
     while steps < max_iters:
+        if tol > 0:
+            base = saved.select("id", "salts", F.lit(0.0).alias("s"), F.col("rank").alias("old"))
         for _ in range(min(burst, max_iters - steps)):
             sent = ranks.where("salts > 0").select(
                 F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "rank")
             passed = sent.join(edges, ["src", "salt"]).select(
-                F.col("dst").alias("id"), F.lit(0).alias("salts"), (F.col("rank") * F.col("w")).alias("s"))
-            ranks = passed.unionByName(base).groupBy("id").agg(F.max("salts").alias("salts"), F.sum("s").alias("s")).select(
-                "id", "salts", (F.lit(1.0 - damping) + damping * F.col("s")).alias("rank"))
+                F.col("dst").alias("id"), F.lit(0).alias("salts"), (F.col("rank") * F.col("w")).alias("s"),
+                F.lit(None).cast("double").alias("old"))
+            ranks = passed.unionByName(base).groupBy("id").agg(
+                F.max("salts").alias("salts"), F.sum("s").alias("s"), F.max("old").alias("old")).select(
+                "id", "salts", (F.lit(1.0 - damping) + damping * F.col("s")).alias("rank"), "old")
             steps += 1
         ranks = scratch.save(ranks, "ranks")
-        still = tol > 0 and not ranks.join(saved.select("id", F.col("rank").alias("old")), "id").where(
-            F.abs(F.col("rank") - F.col("old")) > tol).limit(1).count()
+        still = tol > 0 and not ranks.where(F.abs(F.col("rank") - F.col("old")) > tol).limit(1).count()
         scratch.drop(saved)
         saved = ranks
         if still:
