@@ -69,14 +69,14 @@ def test_components_match_brute_force(spark):
     assert {d: r.component_id for d, r in got.items()} == slow_components(prints)
 
 
-@pytest.mark.parametrize("most", [4, 50])
-def test_crowded_cells_lose_no_link(spark, monkeypatch, most):
+@pytest.mark.parametrize("most, n", [(4, 60), (50, 600)])
+def test_crowded_cells_lose_no_link(spark, monkeypatch, most, n):
     from vertexloom.plans.scratch import Scratch
 
     rng = random.Random(5)
     centre = rng.getrandbits(64)
-    fps = {centre ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 6))) for _ in range(600)}
-    fps |= {rng.getrandbits(64) for _ in range(200)}
+    fps = {centre ^ sum(1 << b for b in rng.sample(range(24), rng.randint(0, 6))) for _ in range(n)}
+    fps |= {rng.getrandbits(64) for _ in range(n // 3)}
     prints = {i: f for i, f in enumerate(sorted(fps))}
     monkeypatch.setattr(simhash, "CELL_ROWS", most)
     nodes = spark.createDataFrame([(simhash._signed(f), d) for d, f in prints.items()], "fp long, node long")
