@@ -16,14 +16,13 @@ def _dealt(graph: Graph, scratch: Scratch, parts: int) -> tuple[DataFrame, DataF
     that its edges are spread like everyone else's. The edges stay where they
     are from step to step; a lost part is read again from the written table.
     """
-    merged = graph.edges.groupBy("src", "dst").agg(F.count("*").alias("m"))
-    out = graph.edges.groupBy("src").agg(F.count("*").alias("n"), F.count_distinct("dst").alias("k"))
-    even = max(1, graph.edges.count() // parts)
-    salts = F.ceil(F.col("k") / even).cast("int")
-    edges = scratch.save(merged.join(out.withColumn("salts", salts), "src").select(
-        "src", F.pmod(F.xxhash64("dst"), "salts").cast("int").alias("salt"), "dst", (F.col("m") / F.col("n")).alias("w")), "edges")
+    merged = scratch.save(graph.edges.groupBy("src", "dst").agg(F.count("*").alias("m")), "merged")
+    even = max(1, merged.count() // parts)
+    out = scratch.save(merged.groupBy("src").agg(F.sum("m").alias("n"), F.ceil(F.count("*") / even).cast("int").alias("salts")), "out")
+    edges = merged.join(out, "src").select(
+        "src", F.pmod(F.xxhash64("dst"), "salts").cast("int").alias("salt"), "dst", (F.col("m") / F.col("n")).alias("w"))
     vertices = scratch.save(graph.vertices.select("id").join(
-        out.select(F.col("src").alias("id"), salts.alias("salts")), "id", "left").select(
+        out.select(F.col("src").alias("id"), "salts"), "id", "left").select(
         "id", F.coalesce("salts", F.lit(0)).alias("salts")), "vertices")
     return edges.repartition(parts, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK), vertices
 
