@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.operators.degree import degree
+from vertexloom.plans.scratch import Scratch
 
 
 def _oriented(links: DataFrame) -> DataFrame:
@@ -58,34 +59,60 @@ def triangles(graph: Graph, kind: str = "cycle") -> DataFrame:
     return _per_vertex(graph, turns.select("a", "b", "c"))
 
 
-def _ball_edges(graph: Graph, order: int) -> DataFrame:
-    """``(id, scan)``: edges, repeats and loops included, inside each vertex's closed neighbourhood of ``order`` steps."""
-    reach = graph.links.select(F.col("src").alias("id"), F.col("dst").alias("v"))
-    ball = reach
-    for _ in range(order - 1):
-        step = graph.links.select(F.col("src").alias("v"), F.col("dst").alias("w"))
-        ball = ball.union(ball.join(step, "v").select("id", F.col("w").alias("v"))).distinct()
-    ball = ball.where("id <> v").union(graph.vertices.select("id", F.col("id").alias("v")))
-    e = graph.edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    inside = ball.join(e.withColumnRenamed("src", "v"), "v").select("id", F.col("dst").alias("v"), "n").join(
-        ball, ["id", "v"], "left_semi")
-    return inside.groupBy("id").agg(F.sum("n").alias("scan"))
+def _pairs(graph: Graph) -> DataFrame:
+    """``(p, q, n)``: how many edges join each two vertices, directions ignored; loops have ``p = q``."""
+    return graph.edges.groupBy(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).agg(
+        F.count("*").alias("n"))
 
 
-def _scan1(graph: Graph) -> DataFrame:
-    """Order one without listing balls: own edges, and for each triangle the edges opposite to each corner."""
-    e = graph.edges.groupBy(F.least("src", "dst").alias("p"), F.greatest("src", "dst").alias("q")).agg(
-        F.count("*").alias("n"))
-    own = e.select(F.explode(F.when(F.col("p") == F.col("q"), F.array("p")).otherwise(F.array("p", "q"))).alias("id"), "n")
+def _inside(graph: Graph, pairs: DataFrame) -> DataFrame:
+    """``(id, n)`` for the edges inside closed neighbourhoods, loops aside, without listing balls.
+
+    Own edges, and for each triangle the edges opposite to each corner.
+    """
+    e = pairs.where("p <> q")
+    own = e.select(F.explode(F.array("p", "q")).alias("id"), "n")
     t = triangle_list(graph)
     opposite = t.select(F.explode(F.array(
         F.struct(F.col("a").alias("id"), F.least("b", "c").alias("p"), F.greatest("b", "c").alias("q")),
         F.struct(F.col("b").alias("id"), F.least("a", "c").alias("p"), F.greatest("a", "c").alias("q")),
         F.struct(F.col("c").alias("id"), F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")))).alias("t")).select("t.*")
-    far = opposite.join(e, ["p", "q"]).select("id", "n")
-    # loops at a neighbour lie in the ball as well
-    loops = e.where("p = q").select(F.col("p").alias("dst"), "n").join(graph.links, "dst").select(F.col("src").alias("id"), "n")
-    return own.unionByName(far).unionByName(loops).groupBy("id").agg(F.sum("n").alias("scan"))
+    return own.unionByName(opposite.join(e, ["p", "q"]).select("id", "n"))
+
+
+def _scan1(graph: Graph) -> DataFrame:
+    """Order one: the edges inside, and loops at the vertex or at a neighbour."""
+    pairs = _pairs(graph)
+    loops = pairs.where("p = q").select(F.col("p").alias("id"), "n")
+    beside = loops.withColumnRenamed("id", "dst").join(graph.links, "dst").select(F.col("src").alias("id"), "n")
+    return _inside(graph, pairs).unionByName(loops).unionByName(beside).groupBy("id").agg(F.sum("n").alias("scan"))
+
+
+def _scan2(graph: Graph) -> DataFrame:
+    """Order two: edges that touch the closed neighbourhood, and those between two vertices at distance two.
+
+    The first kind are sums of degrees, less the edges inside, which are met
+    from both ends. Only the second kind needs the two-step rings, and each of
+    its edges is followed from the end with fewer links, so a hub in many rings
+    multiplies none of them by its degree.
+    """
+    scratch = Scratch(graph.spark, "scan2")
+    pairs = scratch.save(_pairs(graph), "pairs")
+    links = scratch.save(graph.links, "links")
+    steps = links.select(F.col("src").alias("id"), F.col("dst").alias("v"))
+    near = steps.unionAll(graph.vertices.select("id", F.col("id").alias("v")))
+    ends = F.when(F.col("p") == F.col("q"), F.array("p")).otherwise(F.array("p", "q"))
+    at = pairs.select(F.explode(ends).alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n"))
+    touching = near.join(at, "v").select("id", "n")
+    twice = _inside(graph, pairs).select("id", (-F.col("n")).alias("n"))
+    ring = steps.join(links.withColumnRenamed("src", "v"), "v").select("id", F.col("dst").alias("v")).where(
+        "id <> v").distinct().join(steps, ["id", "v"], "left_anti")
+    ring = scratch.save(ring, "ring")
+    ways = _oriented(links).withColumn("p", F.least("src", "dst")).withColumn("q", F.greatest("src", "dst")).join(
+        pairs, ["p", "q"]).select(F.col("src").alias("v"), F.col("dst").alias("w"), "n")
+    between = ring.join(ways, "v").select("id", F.col("w").alias("v"), "n").join(ring, ["id", "v"], "left_semi").select("id", "n")
+    loops = ring.join(pairs.where("p = q").select(F.col("p").alias("v"), "n"), "v").select("id", "n")
+    return touching.unionByName(twice).unionByName(between).unionByName(loops).groupBy("id").agg(F.sum("n").alias("scan"))
 
 
 def local_scan(graph: Graph, order: int = 1) -> DataFrame:
@@ -98,7 +125,7 @@ def local_scan(graph: Graph, order: int = 1) -> DataFrame:
         return degree(graph, "both").withColumnRenamed("degree", "scan")
     if order not in (1, 2):
         raise ValueError("order must be 0, 1 or 2")
-    found = _scan1(graph) if order == 1 else _ball_edges(graph, order)
+    found = _scan1(graph) if order == 1 else _scan2(graph)
     return graph.vertices.join(found, "id", "left").select("id", F.coalesce("scan", F.lit(0)).cast("long").alias("scan"))
 
 
