@@ -8,6 +8,10 @@ from vertexloom.graph import Graph
 from vertexloom.plans.scratch import Scratch
 
 
+#: Steps between two cuts of the lineage; a step past the last change alters nothing.
+BURST = 2
+
+
 def kcore(graph: Graph, k_start: int = 2, k_end: int = 10) -> DataFrame:
     """``(id, core)``: the core number of every vertex by in- plus outgoing edges, repeats counted.
 
@@ -26,9 +30,12 @@ def kcore(graph: Graph, k_start: int = 2, k_end: int = 10) -> DataFrame:
     values = scratch.save(links.groupBy("src").agg(F.least(F.sum("n"), top).alias("c")), "values")
     seen = None
     while True:
-        met = links.join(values.select(F.col("src").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("n").alias("n"))
-        so_far = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("c")))
-        nxt = scratch.save(met.select("src", F.least("c", so_far).alias("h")).groupBy("src").agg(F.max("h").alias("c")), "values")
+        nxt = values
+        for _ in range(BURST):
+            met = links.join(nxt.select(F.col("src").alias("dst"), "c"), "dst").groupBy("src", "c").agg(F.sum("n").alias("n"))
+            so_far = F.sum("n").over(Window.partitionBy("src").orderBy(F.desc("c")))
+            nxt = met.select("src", F.least("c", so_far).alias("h")).groupBy("src").agg(F.max("h").alias("c"))
+        nxt = scratch.save(nxt, "values")
         scratch.drop(values)
         values, total = nxt, nxt.agg(F.sum("c")).first()[0]
         if total == seen:
