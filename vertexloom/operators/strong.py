@@ -9,19 +9,23 @@ from vertexloom.plans.scratch import Scratch
 
 
 def _spread(start: DataFrame, edges: DataFrame, scratch: Scratch, max_rounds: int) -> DataFrame:
-    """``(id, colour)``: the smallest colour that reaches each vertex along ``edges (src, dst)``."""
-    colours, seen = scratch.save(start, "colours"), None
+    """``(id, colour)``: the smallest colour that reaches each vertex along ``edges (src, dst)``.
+
+    ``start (id, colour, fresh)`` marks whose colour is to be passed on; in each
+    round only vertices whose colour has just changed send it, so late rounds,
+    with few of them, neither sort nor shuffle the edges.
+    """
+    colours = scratch.save(start, "colours")
     for _ in range(max_rounds):
-        came = colours.withColumnRenamed("id", "src").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(
-            F.min("colour").alias("c"))
+        came = colours.where("fresh").select(F.col("id").alias("src"), "colour").join(edges, "src").groupBy(
+            F.col("dst").alias("id")).agg(F.min("colour").alias("c"))
         nxt = scratch.save(colours.join(came, "id", "left").select(
-            "id", F.least("colour", F.coalesce("c", "colour")).alias("colour")), "colours")
+            "id", F.least("colour", F.coalesce("c", "colour")).alias("colour"),
+            F.coalesce(F.col("c") < F.col("colour"), F.lit(False)).alias("fresh")), "colours")
         scratch.drop(colours)
         colours = nxt
-        mark = colours.agg(F.sum(F.col("colour").cast("decimal(38,0)"))).first()[0]
-        if mark == seen:
+        if not colours.where("fresh").limit(1).count():
             return colours
-        seen = mark
     raise RuntimeError("colours did not settle; raise max_rounds")
 
 
@@ -53,15 +57,16 @@ def strong_components(graph: Graph, max_rounds: int = 10_000) -> DataFrame:
             edges, alive = left, keep
         if not alive.limit(1).count():
             break
-        colour = _spread(alive.select("id", F.col("id").alias("colour")), edges, scratch, max_rounds)
+        colour = _spread(alive.select("id", F.col("id").alias("colour"), F.lit(True).alias("fresh")), edges, scratch, max_rounds)
         a = colour.select(F.col("id").alias("src"), F.col("colour").alias("ca"))
         b = colour.select(F.col("id").alias("dst"), F.col("colour").alias("cb"))
         inside = scratch.save(edges.join(a, "src").join(b, "dst").where("ca = cb").select(
             F.col("dst").alias("src"), F.col("src").alias("dst")), "inside")
         # backwards from each colour's own vertex; the mark 0 spreads, 1 stays
-        back = _spread(colour.select("id", F.when(F.col("id") == F.col("colour"), F.lit(0)).otherwise(F.lit(1)).cast(
-            "long").alias("colour")), inside, scratch, max_rounds)
-        found = scratch.save(back.where("colour = 0").select("id").join(colour, "id").select(
+        own = F.col("id") == F.col("colour")
+        marks = colour.select("id", F.when(own, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("colour"), own.alias("fresh"))
+        back = _spread(marks, inside, scratch, max_rounds)
+        found = scratch.save(back.where("colour = 0").select("id").join(colour.select("id", "colour"), "id").select(
             "id", F.col("colour").alias("component")), "found")
         done.append(found)
         rest = scratch.save(alive.join(found, "id", "left_anti"), "alive")
