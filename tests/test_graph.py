@@ -70,6 +70,17 @@ def test_degree_and_scan(spark, dirty):
     assert len(top) == 20 and [(-r.scan, r.vid) for r in top] == sorted((-r.scan, r.vid) for r in top)
 
 
+@pytest.mark.parametrize("directed", [True, False])
+def test_two_steps_on_a_sparse_graph_with_a_hub(spark, directed):
+    rng = random.Random(6)
+    n = 40
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(36)] + [(0, v) for v in range(1, 9)] + [(5, 5), (30, 30), (31, 30)] * 2
+    near = {v: {v} | {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for v in range(n)}
+    ball = {v: set().union(*(near[w] for w in near[v])) for v in range(n)}
+    got = as_dict(triangles.local_scan(graph(spark, edges, directed, n), 2))
+    assert got == {v: sum(a in ball[v] and b in ball[v] for a, b in edges) for v in range(n)}
+
+
 def test_triangles(spark, dirty):
     cycle = graph(spark, [(0, 1), (1, 2), (2, 0)], True)
     assert as_dict(triangles.triangles(cycle, "cycle")) == {0: 1, 1: 1, 2: 1}
