@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vertexloom.llm import bpe, decontaminate, licenses, maxscore, quality, secrets, sharding, simhash, warc, wrappers
+from vertexloom.plans.scratch import Scratch
 
 SMALL = "/root/testdata/sf0.001"
 HAS_TABLES = pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the test tables")
@@ -284,6 +285,39 @@ def test_latent_search_recalls_what_brute_force_finds(spark, monkeypatch):
     assert found <= want and len(found) >= 0.9 * len(want) and want
 
 
+def test_the_latent_space_is_that_of_all_passages(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"w{i}" for i in range(300)])
+    items = [(i, " ".join(rng.choice(vocabulary, 20))) for i in range(200)]  # more than the rank
+    # words come in topics, so that the rows left out of a sample would turn the space
+    rows = [(n, " ".join(rng.choice(vocabulary[n % 40 * 7:][:20], int(rng.integers(0, 130))))) for n in range(3000)]
+    docs = spark.createDataFrame(rows + [(None, None), (5, "")], "doc_id long, text string")
+    known = decontaminate.read_items([(*i, None) for i in items])
+    scratch = Scratch(spark, "space")
+    coded = scratch.save(decontaminate.coded_words(docs, known, "doc_id", "text"), "coded")
+    got = decontaminate.fit_space(coded, known, scratch).latent
+
+    codes = [decontaminate._ids(known.vocabulary, t) for _, t in rows]
+    width = len(known.vocabulary) + 1
+    df = np.sum([np.bincount(c, minlength=width) > 0 for c in codes], axis=0)
+    df[0] = len(rows) + 2
+    idf = decontaminate._weights(known, df)
+    passages = [c[a:a + 48] for c in codes for a in range(0, len(c), 48)]
+
+    def weighted(parts):
+        m = np.stack([np.bincount(p, minlength=width) for p in parts]) * idf.astype(float)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+
+    p, own = weighted(passages), weighted(known.sequences)
+    x = np.random.default_rng(3).normal(size=(width, decontaminate.RANK + decontaminate.OVERSAMPLE))
+    for _ in range(decontaminate.POWER + 1):
+        q = np.linalg.qr(x)[0]
+        x = p.T @ (p @ q) + own.T @ (own @ q) * (len(rows) + 2) / len(own)
+    latent = own @ np.linalg.svd(x, full_matrices=False)[0][:, :decontaminate.RANK]
+    latent /= np.linalg.norm(latent, axis=1, keepdims=True)
+    assert np.abs(got @ got.T - latent @ latent.T).max() < 1e-3
+
+
 def test_leaks_of_odd_rows(spark):
     item = "the quick brown fox jumps over one lazy dog near that old river bank today"
     noise = " ".join(f"w{i}" for i in range(400))

@@ -2,10 +2,10 @@
 
 Benchmark items and document passages are TF-IDF vectors over the items' own
 words (a word that no item has adds to no similarity with an item); document
-frequencies are counted over all documents. A randomised SVD of the passages
-gives the latent space: every task sums its share of the products with a small
-random matrix, the sums meet in a fixed-size matrix, and a QR and a small SVD
-follow. Passages are windows of whole texts in three lengths; those whose latent
+frequencies are counted over all documents. A randomised SVD of the passages of
+all documents gives the latent space: every task sums its share of the products
+with a small random matrix, the sums meet in a fixed-size matrix, and a QR and a
+small SVD follow. Passages are windows of whole texts in three lengths; those whose latent
 cosine with an item passes a threshold are candidates. A candidate, with the
 block before and the block after it, must then hold enough of the item in order
 (longest common subsequence of words) and the item's answer; the two blocks give
@@ -40,8 +40,6 @@ ITEM_WORDS = (SPANS[-1] - 1) * BLOCK
 RANK, OVERSAMPLE, POWER = 128, 8, 1
 #: Words in more than this share of documents weigh nothing, unless an item would keep fewer than MIN_WORDS others.
 COMMON, MIN_WORDS = 0.1, 5
-#: Documents whose passages fit the latent space, beside the items: those with the smallest hashes of their id.
-FIT_ROWS = 1000
 COSINE = 0.35
 #: The share of an item's words that must appear in order, and the least share with its whole answer.
 LCS, LCS_ANSWERED = 0.8, 0.6
@@ -49,6 +47,8 @@ ANSWER_WORDS = 5
 #: Items compared in one pass over the documents; more items take more passes. Tables of items by words are dense.
 ITEM_BLOCK = 1000
 
+#: Passages whose share in the latent space is computed together.
+FIT_PASSAGES = 512
 #: Memory that one piece of the candidates' exact checks takes.
 CHECK_BYTES = 16 << 20
 
@@ -165,13 +165,35 @@ def _tree_sum(parts: DataFrame, width: int, kind) -> np.ndarray:
     return sum((np.frombuffer(r.part, kind) for r in grouped.toLocalIterator()), np.zeros(width, kind))
 
 
-def _block_rows(ids: np.ndarray, span: int = 1) -> np.ndarray:
-    """Word numbers in rows of ``span`` blocks, padded with 0."""
-    width = BLOCK * span
-    n = max(1, -(-len(ids) // width))
-    out = np.zeros(n * width, np.int32)
-    out[:len(ids)] = ids
-    return out.reshape(n, width)
+def _products(row: np.ndarray, word: np.ndarray, value: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``row^T (row x)`` summed over sparse rows, numbered from 0 in order: the words they have, and these words' sums."""
+    flip = np.argsort(word, kind="stable")
+    used, place = np.unique(word[flip], return_inverse=True)
+    met = _times(row, word, value, x, int(row[-1]) + 1)
+    return used, _times(place, row[flip], value[flip], met, len(used))
+
+
+def _unit(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The values of sparse rows, numbered from 0, with each row brought to length one."""
+    return (value / np.maximum(np.sqrt(np.bincount(row, value * value)), 1e-9)[row]).astype(np.float32)
+
+
+def _add_products(coded: list[np.ndarray], idf: np.ndarray, x: np.ndarray, total: np.ndarray) -> None:
+    """Adds to ``total`` the products of the texts' passages, one after the other from each text's start."""
+    width = BLOCK * SPANS[1]
+    size = np.array([len(c) for c in coded])
+    own = -(-size // width)
+    flat = np.concatenate(coded)
+    passage = np.repeat(np.cumsum(own) - own, size) + (np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)) // width
+    kept = np.flatnonzero(idf[flat] > 0)
+    flat, passage = flat[kept], passage[kept]
+    cuts = np.searchsorted(passage, np.arange(0, own.sum() + FIT_PASSAGES, FIT_PASSAGES))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if a < b:
+            keys, often = np.unique(passage[a:b] * len(idf) + flat[a:b], return_counts=True)
+            row, word = np.unique(keys // len(idf), return_inverse=True)[1], keys % len(idf)
+            used, sums = _products(row, word, _unit(row, often * idf[word]), x)
+            total[used] += sums
 
 
 def _weights(items: Items, df: np.ndarray) -> np.ndarray:
@@ -192,55 +214,39 @@ def _weights(items: Items, df: np.ndarray) -> np.ndarray:
 def fit_space(coded: DataFrame, items: Items, scratch: Scratch) -> Items:
     """The latent space by a distributed randomised SVD of the TF-IDF passages.
 
-    Passages come from the ``FIT_ROWS`` documents with the smallest id hashes
-    and from the items themselves; document frequencies cover all documents. In
-    a round every task adds ``row^T (row X)`` over its passages: one matrix of
-    words x rank, whatever the number of documents.
+    Passages come from all documents and from the items themselves. In a round
+    every task adds ``row^T (row X)`` over its passages: one matrix of words x
+    rank, whatever the number of documents.
     """
     spark = coded.sparkSession
     width = len(items.vocabulary) + 1
     df = _tree_sum(coded.where("counts is not null").select("counts"), width, np.int64)
     idf = items.idf = _weights(items, df)
     rank = min(RANK + OVERSAMPLE, width)
-    x = np.random.default_rng(3).normal(size=(width, rank)).astype(np.float32)
+    x = np.random.default_rng(3).normal(size=(width, rank))
     n_items = len(items.ids)
     row, word, often = items.counts()
-    weight = often * idf[word]
-    weight = weight / np.maximum(np.sqrt(np.bincount(row, weight * weight, n_items)), 1e-9)[row].astype(np.float32)
-    flip = np.argsort(word, kind="stable")
-    used, place = np.unique(word[flip], return_inverse=True)
-    # only as many rows as the sample can use are ever ordered, however many there are
-    mark = F.xxhash64("doc_id", F.lit(5))
-    share = min(1.0, 4 * FIT_ROWS / max(int(df[0]), 1))
-    sample = coded.where("codes is not null").where(mark < F.lit(int(-(1 << 63) + share * ((1 << 64) - 2048)))).orderBy(
-        mark, "doc_id", "codes").limit(FIT_ROWS).select("codes")
-    sample = scratch.save(sample.repartition(16), "sample")
+    weight = _unit(row, often * idf[word])
 
     for _ in range(POWER + 1):
         shared = spark.sparkContext.broadcast((idf, np.linalg.qr(x)[0].astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             weight, q = shared.value
-            total = np.zeros(q.shape, np.float32)
+            total = np.zeros(q.shape)
             for batch in slices(batches):
-                for codes in batch.column(0).to_pylist():
-                    passages = _block_rows(np.frombuffer(codes, np.int32), SPANS[1])
-                    for a in range(0, len(passages), 256):
-                        p = passages[a:a + 256]
-                        tf = np.bincount((np.arange(len(p))[:, None] * len(weight) + p).ravel(),
-                                         minlength=len(p) * len(weight)).reshape(len(p), -1) * weight
-                        tf /= np.maximum(np.linalg.norm(tf, axis=1, keepdims=True), 1e-9)
-                        tf = tf.astype(np.float32)
-                        total += tf.T @ (tf @ q)
+                _add_products([np.frombuffer(c, np.int32) for c in batch.column(0).to_pylist()], weight, q, total)
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
 
         q = shared.value[1]
-        gathered = _tree_sum(sample.mapInArrow(run, "part binary"), q.size, np.float32).reshape(q.shape)
-        # items count as much as the sampled passages do
-        met = _times(row, word, weight, q, n_items)
-        x = gathered.copy()
-        x[used] += _times(place, row[flip], weight[flip], met, len(used)) * (FIT_ROWS / n_items)
-    u, s, _ = np.linalg.svd(x.astype(np.float64), full_matrices=False)
+        # written first: all passages are read by as many tasks as there are, and only their matrices in groups
+        parts = scratch.save(coded.where("codes is not null").select("codes").mapInArrow(run, "part binary"), "products")
+        x = _tree_sum(parts, q.size, np.float64).reshape(q.shape).copy()
+        scratch.drop(parts)
+        # items count as much as the documents do
+        used, sums = _products(row, word, weight, q)
+        x[used] += sums * (max(int(df[0]), 1) / n_items)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
     basis = u[:, :max(1, min(RANK, int((s > s[0] * 1e-6).sum())))].astype(np.float32)
     items.space = basis * idf[:, None]
     latent = _times(row, word, often, items.space, n_items)
