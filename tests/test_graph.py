@@ -176,6 +176,18 @@ def test_paths_match_brute_force(spark, directed):
             v: min(u for u in range(n) if (u, v) in far and (v, u) in far) for v in range(n)}
 
 
+def test_many_small_components_share_a_batch(spark, monkeypatch):
+    edges = [(3 * i, 3 * i + 1) for i in range(40)] + [(3 * i + 1, 3 * i + 2) for i in range(30)]
+    real, seen = neighbours._dependencies, []
+    monkeypatch.setattr(neighbours, "_dependencies", lambda *a: seen.append(a[0].count()) or real(*a))
+    got = as_dict(neighbours.betweenness(graph(spark, edges, False, 125), batch=8))
+    assert got == {v: float(v % 3 == 1 and v < 90) for v in range(125)}
+    assert seen == [90]  # pairs and isolates are no sources
+    seen.clear()
+    assert as_dict(neighbours.betweenness(graph(spark, edges[:1] * 9, False, 9), batch=2)) == dict.fromkeys(range(9), 0)
+    assert not seen
+
+
 def test_bad_arguments(spark):
     g = graph(spark, [(0, 1)], True)
     for order in (-1, 3):
