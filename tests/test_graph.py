@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions import linalg
 from vertexloom.graph import Graph
 from vertexloom.operators import components, degree, kcore, kmeans, neighbours, pagerank, subgraph, triangles
+from vertexloom.plans.scratch import Scratch
 from vertexloom.sources import catalog, text
 from vertexloom.streaming.degrees import windowed_degree
 
@@ -119,6 +120,29 @@ def test_pagerank(spark):
         pagerank.pagerank(graph(spark, [(0, 1)], False))
 
 
+def test_pagerank_blocks_spread_a_hub(spark):
+    rng = random.Random(4)
+    n = 60  # 55 to 59 are isolates; 0 has a third of all edges out, 1 as many in; repeats and a loop
+    edges = [(0, v) for v in range(2, 52)] + [(v, 1) for v in range(2, 50)] + [(0, 2)] * 3 + [(5, 5), (1, 54)]
+    edges += [(rng.randrange(2, 40), rng.randrange(n - 5)) for _ in range(50)]
+    m = np.zeros((n, n))
+    for a, b in edges:
+        m[b, a] += 1
+    m /= np.maximum(m.sum(0), 1)
+    g = graph(spark, edges, True, n)
+    for steps, tol in ((0, 0), (7, 0), (1000, None)):
+        want = np.full(n, 0.15)
+        for _ in range(steps):
+            old, want = want, 0.15 + 0.85 * m @ want
+            if tol is None and abs(want - old).max() <= 1.5e-4:
+                break
+        got = as_dict(pagerank.pagerank(g, steps, tol=tol))
+        assert len(got) == n and all(abs(got[v] - want[v]) < 1e-12 for v in range(n))
+    blocks, parts = pagerank._blocks(g, Scratch(spark, "test"), 4)
+    held = [len(r.w) // 8 for r in blocks.collect()]
+    assert parts == 4 and len(held) <= 4 and sum(held) == len(set(edges)) and max(held) < 0.6 * sum(held)
+
+
 def test_kcore(spark, dirty):
     g = graph(spark, dirty, False, 20)
     want = slow_core(dirty, 20)
