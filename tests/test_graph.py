@@ -82,6 +82,30 @@ def test_two_steps_on_a_sparse_graph_with_a_hub(spark, directed):
     assert got == {v: sum(a in ball[v] and b in ball[v] for a, b in edges) for v in range(n)}
 
 
+def test_two_step_rings_are_arrays_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    n = 30
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(30)] + [(0, v) for v in range(1, 12)] + [(7, 7), (8, 7), (8, 7)]
+    near = {v: {v} | {b for a, b in edges if a == v} | {a for a, b in edges if b == v} for v in range(n)}
+    ball = {v: set().union(*(near[w] for w in near[v])) for v in range(n)}
+    real, rings = Scratch.save, []
+
+    def save(self, df, name="t"):
+        out = real(self, df, name)
+        if name == "ring":
+            rings.append([(r.v, sorted(r.ids)) for r in out.collect()])
+        return out
+
+    monkeypatch.setattr(Scratch, "save", save)
+    for limit in (triangles.RING_IDS, 4):
+        monkeypatch.setattr(triangles, "RING_IDS", limit)
+        got = as_dict(triangles.local_scan(graph(spark, edges, False, n), 2))
+        assert got == {v: sum(a in ball[v] and b in ball[v] for a, b in edges) for v in range(n)}
+    whole, cut = rings
+    assert len(whole) == len({v for v, _ in whole}) < len(cut)
+    assert dict(whole) == {v: sorted(ball[v] - near[v]) for v in range(n) if ball[v] - near[v]}
+
+
 def test_triangles(spark, dirty):
     cycle = graph(spark, [(0, 1), (1, 2), (2, 0)], True)
     assert as_dict(triangles.triangles(cycle, "cycle")) == {0: 1, 1: 1, 2: 1}

@@ -8,6 +8,9 @@ from vertexloom.graph import Graph
 from vertexloom.operators.degree import degree
 from vertexloom.plans.scratch import Scratch
 
+#: Ids that an array holds about, at most; longer rings are cut into parts by a hash of the id.
+RING_IDS = 1 << 18
+
 
 def _oriented(links: DataFrame) -> DataFrame:
     """Each link once, from the end with the smaller (degree, id).
@@ -94,7 +97,8 @@ def _scan2(graph: Graph) -> DataFrame:
     The first kind are sums of degrees, less the edges inside, which are met
     from both ends. Only the second kind needs the two-step rings, and each of
     its edges is followed from the end with fewer links, so a hub in many rings
-    multiplies none of them by its degree.
+    multiplies none of them by its degree. Rings are kept as arrays by the vertex
+    at their end, so an edge sends one row and not one for each ring.
     """
     scratch = Scratch(graph.spark, "scan2")
     pairs = scratch.save(_pairs(graph), "pairs")
@@ -105,13 +109,18 @@ def _scan2(graph: Graph) -> DataFrame:
     at = pairs.select(F.explode(ends).alias("v"), "n").groupBy("v").agg(F.sum("n").alias("n"))
     touching = near.join(at, "v").select("id", "n")
     twice = _inside(graph, pairs).select("id", (-F.col("n")).alias("n"))
+    size = links.groupBy("src").agg(F.count("*").alias("n"))
+    most = links.join(size.withColumnRenamed("src", "dst"), "dst").groupBy("src").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.pmod(F.xxhash64("id"), F.lit(-(-most // RING_IDS) or 1)).alias("part")
+    # dealt out by v once, for the distinct rows and for their arrays
     ring = steps.join(links.withColumnRenamed("src", "v"), "v").select("id", F.col("dst").alias("v")).where(
-        "id <> v").distinct().join(steps, ["id", "v"], "left_anti")
-    ring = scratch.save(ring, "ring")
+        "id <> v").repartition("v").distinct().join(steps, ["id", "v"], "left_anti")
+    ring = scratch.save(ring.groupBy("v", part).agg(F.array_sort(F.collect_list("id")).alias("ids")), "ring")
     ways = _oriented(links).withColumn("p", F.least("src", "dst")).withColumn("q", F.greatest("src", "dst")).join(
         pairs, ["p", "q"]).select(F.col("src").alias("v"), F.col("dst").alias("w"), "n")
-    between = ring.join(ways, "v").select("id", F.col("w").alias("v"), "n").join(ring, ["id", "v"], "left_semi").select("id", "n")
-    loops = ring.join(pairs.where("p = q").select(F.col("p").alias("v"), "n"), "v").select("id", "n")
+    between = ring.join(ways, "v").select(F.col("w").alias("v"), "part", "n", F.col("ids").alias("sent")).join(
+        ring, ["v", "part"]).select(F.explode(F.array_intersect("sent", "ids")).alias("id"), "n")
+    loops = ring.join(pairs.where("p = q").select(F.col("p").alias("v"), "n"), "v").select(F.explode("ids").alias("id"), "n")
     return touching.unionByName(twice).unionByName(between).unionByName(loops).groupBy("id").agg(F.sum("n").alias("scan"))
 
 
