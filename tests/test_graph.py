@@ -174,6 +174,11 @@ def test_kcore(spark, dirty):
     assert as_dict(kcore.kcore(g, 2, 3)) == {v: max(c, 1) if c <= 3 else -1 for v, c in want.items()}
 
 
+def test_kcore_goes_on_until_it_settles(spark):
+    path = graph(spark, [(i, i + 1) for i in range(89)], False)  # takes 44 rounds, more than the SQL has
+    assert set(as_dict(kcore.kcore(path, 1, 0)).values()) == {1}
+
+
 def test_overlap_diameter_betweenness(spark):
     path = graph(spark, [(i, i + 1) for i in range(4)], False)
     assert neighbours.diameter(path).first()[0] == 4
